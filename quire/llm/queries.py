@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quire.llm import leaks, terms
+from quire.llm import leaks, mojibake, terms
 from quire.session import table
 
 
@@ -35,7 +35,15 @@ def p7_leaks(spark: SparkSession, d: str) -> DataFrame:
     return _leaks(spark, d).withColumn("kind", kind)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_counts, p7_found, p7_leaks)}
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return mojibake.garbled(table(spark, d, "documents"), repair=False).select("doc_id").distinct()
+
+
+def p8_repaired(spark: SparkSession, d: str) -> DataFrame:
+    return mojibake.garbled(table(spark, d, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_counts, p7_found, p7_leaks, p8_found, p8_repaired)}
 
 _PLAIN = """list_aggregate(list_transform(regexp_extract_all({0}, '#[0-9A-Fa-f]{{2}}|[^#]+|#'),
     lambda x: CASE WHEN regexp_full_match(x, '#[0-9A-Fa-f]{{2}}') THEN chr(CAST('0x' || substr(x, 2) AS INTEGER)) ELSE x END), 'string_agg', '')"""
