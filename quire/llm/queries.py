@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quire.llm import leaks, mojibake, terms
+from quire.llm import leaks, mojibake, packing, terms
 from quire.session import table
 
 
@@ -22,6 +22,14 @@ def p1_counts(spark: SparkSession, d: str) -> DataFrame:
     return _marked(spark, d)
 
 
+def p6_packed(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack(packing.count_tokens(table(spark, d, "documents")), table(spark, d, "pack_sizes"))
+
+
+def p6_fill(spark: SparkSession, d: str) -> DataFrame:
+    return packing.fill(p6_packed(spark, d), table(spark, d, "pack_sizes"))
+
+
 def _leaks(spark: SparkSession, d: str) -> DataFrame:
     return leaks.leaks(table(spark, d, "documents"), table(spark, d, "benchmark"))
 
@@ -43,7 +51,7 @@ def p8_repaired(spark: SparkSession, d: str) -> DataFrame:
     return mojibake.garbled(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_counts, p7_found, p7_leaks, p8_found, p8_repaired)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_counts, p6_packed, p6_fill, p7_found, p7_leaks, p8_found, p8_repaired)}
 
 _PLAIN = """list_aggregate(list_transform(regexp_extract_all({0}, '#[0-9A-Fa-f]{{2}}|[^#]+|#'),
     lambda x: CASE WHEN regexp_full_match(x, '#[0-9A-Fa-f]{{2}}') THEN chr(CAST('0x' || substr(x, 2) AS INTEGER)) ELSE x END), 'string_agg', '')"""
