@@ -103,7 +103,9 @@ def pack(items: DataFrame, sizes: DataFrame, group: int = GROUP) -> DataFrame:
     groups = max(1, -(-held.count() // group))
     # The row number keeps a repeated id from filling one group.
     dealt = held.withColumn("grp", F.pmod(F.xxhash64("doc_id", "tokens", F.monotonically_increasing_id()), F.lit(groups)))
-    return dealt.groupBy("grp").applyInArrow(_pack(packs), _PACKED)
+    # A fixed number of partitions: the rows are few bytes but much work, so they must not be coalesced.
+    tasks = min(groups, 4 * items.sparkSession.sparkContext.defaultParallelism)
+    return dealt.repartition(tasks, "grp").groupBy("grp").applyInArrow(_pack(packs), _PACKED)
 
 
 def fill(packed: DataFrame, sizes: DataFrame) -> DataFrame:
