@@ -39,6 +39,21 @@ def a85_decode(b: bytes) -> bytes:
     b = b.translate(None, _BLANK)
     _need(b.endswith(b"~>"), "no end mark")
     body = b[:-2]
+    if b"z" not in body and len(body) >= 5:
+        whole = len(body) // 5 * 5
+        return _a85_blocks(body[:whole]) + (_a85_slow(body[whole:]) if whole < len(body) else b"")
+    return _a85_slow(body)
+
+
+def _a85_blocks(body: bytes) -> bytes:
+    digits = np.frombuffer(body, np.uint8).reshape(-1, 5).astype(np.int64) - 33
+    _need(((digits >= 0) & (digits <= 84)).all(), "character out of range")
+    values = digits @ np.array([85**4, 85**3, 85**2, 85, 1])
+    _need((values < 1 << 32).all(), "block too large")
+    return values.astype(">u4").tobytes()
+
+
+def _a85_slow(body: bytes) -> bytes:
     out = bytearray()
     at = 0
     while at < len(body):
@@ -59,19 +74,16 @@ def a85_decode(b: bytes) -> bytes:
 
 
 def a85_encode(b: bytes) -> bytes:
-    out = bytearray()
-    for at in range(0, len(b), 4):
-        block = b[at : at + 4]
-        value = int.from_bytes(block.ljust(4, b"\0"), "big")
-        if not value and len(block) == 4:
-            out += b"z"
-            continue
-        digits = bytearray()
-        for _ in range(5):
-            value, digit = divmod(value, 85)
-            digits.append(33 + digit)
-        out += bytes(reversed(digits))[: len(block) + 1]
-    return bytes(out) + b"~>"
+    rest = len(b) % 4
+    values = np.frombuffer(b + bytes(-len(b) % 4), ">u4").astype(np.int64)
+    digits = np.stack([values // 85**k % 85 + 33 for k in (4, 3, 2, 1, 0)], axis=1).astype(np.uint8)
+    whole = values[: len(b) // 4]
+    tail = digits[len(whole) :].tobytes()[: rest + 1] if rest else b""
+    if (whole == 0).any():
+        body = b"".join(b"z" if v == 0 else d.tobytes() for v, d in zip(whole, digits))
+    else:
+        body = digits[: len(whole)].tobytes()
+    return body + tail + b"~>"
 
 
 def runlength_decode(b: bytes) -> bytes:
@@ -135,14 +147,12 @@ def lzw_decode(b: bytes) -> bytes:
 
 def lzw_encode(b: bytes) -> bytes:
     """One code of 9 bits per byte, cleared often enough that the width never grows."""
-    bits = n = 0
-    for i, c in enumerate(b):
-        if i % 253 == 0:
-            bits, n = (bits << 9) | 256, n + 9
-        bits, n = (bits << 9) | c, n + 9
-    bits, n = (bits << 9) | 257, n + 9
-    pad = -n % 8
-    return (bits << pad).to_bytes((n + pad) // 8, "big")
+    codes: list[int] = []
+    for i in range(0, len(b), 253):
+        codes += [256, *b[i : i + 253]]
+    codes.append(257)
+    nine = (np.array(codes, np.uint16)[:, None] >> np.arange(8, -1, -1, dtype=np.uint16)) & 1
+    return np.packbits(nine.astype(np.uint8).ravel()).tobytes()
 
 
 def adler32(b: bytes) -> int:
