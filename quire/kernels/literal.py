@@ -15,15 +15,17 @@ from collections.abc import Iterator
 BLANK = "\\x00\\t\\n\\x0c\\r "
 DELIM = "()<>\\[\\]{}/%"
 _GAP = f"(?:[{BLANK}]|%[^\\r\\n]*(?=[\\r\\n]|\\Z))"
+_SIMPLE = r"(?:[^()\\]++|\\.)*+"
+# Groups by number: names are compared far more slowly.
+_NAME, _NUM, _GEN, _WORD, _OPEN, _CLOSE, _LSQ, _RSQ, _HEX, _STRING, _DEEP = range(1, 12)
 _TOKEN = re.compile(
-    f"(?P<gap>{_GAP}+)"
-    f"|/(?P<name>[^{BLANK}{DELIM}]*)"
-    f"|(?P<num>[0-9]+){_GAP}+(?P<gen>[0-9]+){_GAP}+R(?![^{BLANK}{DELIM}])"
-    f"|(?P<open><<)|(?P<close>>>)|(?P<lsq>\\[)|(?P<rsq>\\])"
-    f"|<(?P<hex>[^<>]*)>?"
-    f"|(?P<str>\\()"
-    f"|(?P<word>[^{BLANK}{DELIM}]+)"
-    f"|(?P<odd>.)",
+    f"/([^{BLANK}{DELIM}]*)"
+    f"|([0-9]+){_GAP}+([0-9]+){_GAP}+R(?![^{BLANK}{DELIM}])"
+    f"|([^{BLANK}{DELIM}]+)"
+    f"|(<<)|(>>)|(\\[)|(\\])"
+    f"|<([^<>]*)>?"
+    f"|\\(({_SIMPLE}(?:\\({_SIMPLE}\\){_SIMPLE})*+)\\)|(\\()"
+    f"|%[^\\r\\n]*",
     re.S,
 )
 _PAREN = re.compile(r"\\.|[()]", re.S)
@@ -65,74 +67,85 @@ def nodes(text: str, leaves: bool = True) -> Iterator[tuple[int, int, str, str,
     # A frame: [ordinal, path, group, is_dict, next index, pending key or None]
     stack: list[list] = []
     count = at = 0
-    end = len(text)
-    match = _TOKEN.match
-    while at < end:
-        m = match(text, at)
-        what = m.lastgroup
-        at = m.end()
-        if what == "gap" or what == "odd":
-            continue
-        if what == "close" or what == "rsq":
-            want = what == "close"
-            if any(f[3] is want for f in stack):
-                while stack.pop()[3] is not want:
-                    pass
-            continue
-        value = None
-        if what == "name":
-            raw = m.group("name")
-            name = unescape(raw)
-            if stack and stack[-1][3] and stack[-1][5] is None:
-                stack[-1][5] = name
+    while at is not None:
+        begin, at = at, None
+        for m in _TOKEN.finditer(text, begin):
+            what = m.lastindex
+            value = None
+            if what == _NAME:
+                value = unescape(m[_NAME])
+                if stack and stack[-1][3] and stack[-1][5] is None:
+                    stack[-1][5] = value
+                    continue
+                kind = "name"
+            elif what == _WORD:
+                if not leaves and stack:  # the commonest case: only its place counts
+                    top = stack[-1]
+                    if top[3]:
+                        top[5] = None
+                    else:
+                        top[4] += 1
+                    count += 1
+                    continue
+                value = m[_WORD]
+                kind = _word(value)
+            elif what == _GEN:
+                kind, value = REF, f"{int(m[_NUM])} {int(m[_GEN])}"
+            elif what == _OPEN:
+                kind = DICT
+            elif what == _LSQ:
+                kind = ARRAY
+            elif what == _CLOSE or what == _RSQ:
+                want = what == _CLOSE
+                if stack and stack[-1][3] is want:
+                    stack.pop()
+                elif any(f[3] is want for f in stack):
+                    while stack.pop()[3] is not want:
+                        pass
                 continue
-            kind, value = "name", name
-        elif what == "gen":
-            kind, value = REF, f"{int(m.group('num'))} {int(m.group('gen'))}"
-        elif what == "open":
-            kind = DICT
-        elif what == "lsq":
-            kind = ARRAY
-        elif what == "hex":
-            kind, value = "hex", m.group("hex")
-        elif what == "str":
-            stop = string_end(text, at)
-            kind, value = "string", text[at : stop - 1]
-            at = stop
-        else:
-            value = m.group("word")
-            if value == "null":
-                kind = "null"
-            elif value in ("true", "false"):
-                kind = "bool"
-            elif _INT.match(value):
-                kind = "int"
-            elif _REAL.match(value):
-                kind = "real"
+            elif what == _STRING:
+                kind, value = "string", m[_STRING]
+            elif what == _HEX:
+                kind, value = "hex", m[_HEX]
+            elif what == _DEEP:  # parentheses nested deeper than the expression follows
+                at = string_end(text, m.end())
+                kind, value = "string", text[m.end() : at - 1]
             else:
-                kind = "word"
-        index = key = None
-        if stack:
-            top = stack[-1]
-            if top[3]:
-                if top[5] is None:
-                    key = ""  # a value without a key in a damaged dictionary
+                continue
+            index = key = None
+            inner = kind is DICT or kind is ARRAY
+            wanted = leaves or inner or kind is REF
+            if stack:
+                top = stack[-1]
+                if top[3]:
+                    key = top[5] or ""  # "" for a value without a key in a damaged dictionary
+                    top[5] = None
+                    if wanted:
+                        path, group = f"{top[1]}/{key}", f"{top[2]}/{key}"
                 else:
-                    key = top[5]
-                top[5] = None
-                path, group = f"{top[1]}/{key}", f"{top[2]}/{key}"
+                    index = top[4]
+                    top[4] = index + 1
+                    if wanted:
+                        path, group = f"{top[1]}[{index}]", f"{top[2]}[]"
+                parent, above = top[0], top[2]
+            elif not count:
+                path = group = above = ""
+                parent = -1
             else:
-                index = top[4]
-                top[4] += 1
-                path, group = f"{top[1]}[{index}]", f"{top[2]}[]"
-            parent, above = top[0], top[2]
-        else:
-            if count:
-                continue  # only the first object of a text is its root
-            path = group = above = ""
-            parent = -1
-        if leaves or kind in (DICT, ARRAY, REF):
-            yield count, parent, path, group, above, index, key, kind, value
-        if kind is DICT or kind is ARRAY:
-            stack.append([count, path, group, kind is DICT, 0, None])
-        count += 1
+                wanted = inner = False  # only the first object of a text is its root
+                count -= 1
+            if wanted:
+                yield count, parent, path, group, above, index, key, kind, value
+            if inner:
+                stack.append([count, path, group, kind is DICT, 0, None])
+            count += 1
+            if at is not None:
+                break
+
+
+def _word(value: str) -> str:
+    if value == "null":
+        return "null"
+    if value in ("true", "false"):
+        return "bool"
+    return "int" if _INT.match(value) else "real" if _REAL.match(value) else "word"
