@@ -37,15 +37,12 @@ def quoting(raw: Column) -> tuple[Column, Column]:
     """
     pieces = F.split(raw, '"', -1)
     n = F.size(pieces)
+    first, last = F.element_at(pieces, 1), F.element_at(pieces, -1)
+    # Lambdas refer to nothing but their arguments: anything else is worked out again for every piece.
+    broken = F.filter(F.slice(pieces, 2, F.greatest(n - 2, F.lit(0))), lambda s, i: (i % 2 == 1) & (s != "") & ~(s.startswith(",") & s.endswith(",")))
+    lines = F.filter(pieces, lambda s, i: (i % 2 == 0) & s.rlike("[\r\n]"))
     outside = F.filter(pieces, lambda s, i: i % 2 == 0)
-    last = F.size(outside) - 1
-    wrong = F.exists(
-        F.transform(outside, lambda s, i: F.struct(s.alias("s"), i.alias("i"))),
-        lambda p: F.when(p["s"].rlike("[\r\n]"), True)
-        .when((p["i"] > 0) & (p["i"] < last), (p["s"] != "") & ~(p["s"].startswith(",") & p["s"].endswith(",")))
-        .when(p["i"] > 0, (p["s"] != "") & ~p["s"].startswith(","))
-        .otherwise((p["s"] != "") & ~p["s"].endswith(",")),
-    )
+    wrong = (F.size(broken) > 0) | (F.size(lines) > 0) | ((first != "") & ~first.endswith(",")) | ((last != "") & ~last.startswith(","))
     plain = F.instr(raw, '"') == 0
     ok = F.when(plain, ~raw.rlike("[\r\n]")).otherwise((n % 2 == 1) & ~wrong)
     count = F.when(plain, _commas(raw)).otherwise(F.aggregate(outside, F.lit(0), lambda a, s: a + _commas(s))) + 1
