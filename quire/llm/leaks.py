@@ -28,6 +28,7 @@ GRAM = 5  # words of a seed
 RUN = 12  # words of a shared run that is reported as verbatim
 PAD = 160  # words kept on either side of a hit, so that edited copies align as a whole
 MATCH, MISMATCH, GAP = 2, -1, -1
+RARE_ITEMS = 3  # items that may hold a seed of edited copies
 MIN_SCORE = RUN * MATCH  # a verbatim run of RUN words reaches it
 BLOCK_CHARS = 4_000_000  # text of the test items of one block
 
@@ -78,7 +79,10 @@ class Items:
     def seeds(self, df: dict[int, int]) -> dict[int, list[int]]:
         """n-gram to the items it is a seed of: of each RUN-word window the one in the fewest documents.
 
-        Items shorter than RUN words are one window.
+        N-grams in no document can't be seeds.  A window some of whose n-grams
+        are in no document can be copied only with edits; it gets a seed only
+        if that is in at most RARE_ITEMS items, and so no stock phrase.  Items
+        shorter than RUN words are one window.
         """
         items: dict[int, int] = defaultdict(int)
         for g in self.at:
@@ -88,8 +92,12 @@ class Items:
         for i, g in enumerate(self.at):
             rank = [(df.get(x, 0), items[x], x) for x in g.tolist()]
             for a in range(max(1, len(rank) - (RUN - GRAM))):
-                if window := rank[a : a + RUN - GRAM + 1]:
-                    out[min(window)[2]].add(i)
+                window = rank[a : a + RUN - GRAM + 1]
+                there = [r for r in window if r[0]]
+                if len(there) < len(window):
+                    there = [r for r in there if r[1] <= RARE_ITEMS]
+                if there:
+                    out[min(there)[2]].add(i)
         return {g: sorted(s) for g, s in out.items()}
 
 
@@ -159,7 +167,7 @@ def align(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
         if top > best:
             best = top
     if best:
-        matched = int(np.isin(b, a).sum())
+        matched = int(np.isin(b, a[a > 0]).sum())
     return best, longest, matched
 
 
