@@ -43,7 +43,10 @@ def _arrow(table: str) -> pa.StructType:
 
 
 def read(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """(file_id, path, length, content) of files; ``file_id`` is a hash of the path."""
+    """(file_id, path, length, content) of files; ``file_id`` is a hash of the path.
+
+    Files of no bytes are left out by Spark's file scan.
+    """
     df = spark.read.format("binaryFile").load(path)
     return df.select(F.xxhash64("path").alias("file_id"), "path", "length", "content")
 
