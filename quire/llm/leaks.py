@@ -139,35 +139,38 @@ def _passages(index):
 def align(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
     """(score, longest common run, matched words) of the best local alignment of word numbers; 0 matches nothing.
 
-    Row by row; within a row, gaps in ``b`` are a running maximum.
+    Row by row over the shorter side; within a row, gaps are a running maximum.
     """
-    n = len(b)
-    if not n or not len(a):
+    if not len(a) or not len(b):
         return 0, 0, 0
-    step = -GAP * np.arange(1, n + 1)
-    prev = np.zeros(n + 1, np.int64)
-    runs = np.zeros(n + 1, np.int64)
-    best = longest = matched = 0
-    inside = np.isin(a, b)
+    matched = int(np.isin(b, a[a > 0]).sum())
+    if len(a) > len(b):
+        a, b = b, a
+    n = len(b)
+    step = -GAP * np.arange(1, n + 1, dtype=np.int32)
+    prev = np.zeros(n + 1, np.int32)
+    runs = np.zeros(n + 1, np.int32)
+    new = np.zeros(n + 1, np.int32)
+    best = longest = 0
+    inside = np.isin(a, b) & (a > 0)
     idle = True
-    for i, w in enumerate(a):
-        if not inside[i] and idle:
-            continue
-        same = (b == w) & (w > 0)
-        new = np.zeros(n + 1, np.int64)
-        np.copyto(new[1:], np.where(same, runs[:-1] + 1, 0))
-        runs = new
-        longest = max(longest, int(runs.max()))
-        h = np.maximum(prev[:-1] + np.where(same, MATCH, MISMATCH), prev[1:] + GAP)
-        h = np.maximum(h, 0)
-        h = np.maximum.accumulate(h + step) - step
-        prev = np.concatenate(([0], h))
+    for w, known in zip(a.tolist(), inside.tolist()):
+        if not known:
+            if idle:
+                continue
+            runs[:] = 0
+            h = np.maximum(prev[:-1] + MISMATCH, prev[1:] + GAP)
+        else:
+            same = b == w
+            new[1:] = (runs[:-1] + 1) * same
+            runs, new = new, runs
+            longest = max(longest, int(runs.max()))
+            h = np.maximum(prev[:-1] + np.where(same, MATCH, MISMATCH), prev[1:] + GAP)
+        h = np.maximum.accumulate(np.maximum(h, 0) + step) - step
+        prev[1:] = h
         top = int(h.max())
         idle = top == 0
-        if top > best:
-            best = top
-    if best:
-        matched = int(np.isin(b, a[a > 0]).sum())
+        best = max(best, top)
     return best, longest, matched
 
 
