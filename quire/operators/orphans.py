@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from quire.operators.skew import heavy_keys, salted_filter, unique_lookup
+from quire.session import Scratch
 
 BLOCK = 4096  # keys of a block; a run never crosses a block border
 KEY = ["file_id", "obj_num", "obj_gen"]
@@ -78,7 +79,9 @@ def orphans(object_refs: DataFrame, streams: DataFrame, objects: DataFrame, xref
     free = xref_entries.where("seq = 0 and kind = 'free'").select(*KEY).na.drop().distinct().withColumn("freed", F.lit(True))
     found = match(targets, runs(objects.select(*KEY, "loaded_at"))).join(free, KEY, "left")
     suspect = found.where(F.col("freed") | F.col("first").isNull() | (F.col("first") > F.col("earliest")) | (F.col("untimed") > 0))
-    heavy = heavy_keys(suspect.select(*KEY, "n"), KEY)
+    # Written once: the match would otherwise run again for each use below.
+    suspect = Scratch(refs.sparkSession, "orphans").cut(suspect.select(*KEY, "n", "first", "freed"))
+    heavy = heavy_keys(suspect, KEY)
     rows = unique_lookup(refs, suspect.select(*KEY, "first", "freed"), KEY, heavy)
     reason = (
         F.when(F.col("freed"), "freed").when(F.col("first").isNull(), "undefined")
