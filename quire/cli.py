@@ -10,7 +10,7 @@ from quire.kernels import codecs, document, report, schema
 from quire.kernels.model import TRAILER, Name, Options, PdfError, Place, Ref, Stream, key_text, pretty, stream_text
 
 
-def _load(args) -> document.Document:
+def _load(args, only=None) -> document.Document:
     path = Path(args.file)
     if not path.is_file():
         print(f'Invalid file name "{path}" : {"is a directory" if path.is_dir() else "no such file"} !', file=sys.stderr)
@@ -20,7 +20,7 @@ def _load(args) -> document.Document:
         if getattr(args, flag, False):
             setattr(o, flag, True)
     o.stream_limit = getattr(args, "stream_limit", None)
-    return document.load(path.read_bytes(), o)
+    return document.load(path.read_bytes(), o, only)
 
 
 def _fail(e: Exception) -> int:
@@ -33,8 +33,8 @@ def _warn(doc: document.Document) -> None:
         print(f"Warning : {w}", file=sys.stderr)
 
 
-def _loaded(args) -> document.Document:
-    doc = _load(args)
+def _loaded(args, only=None) -> document.Document:
+    doc = _load(args, only)
     _warn(doc)
     if doc.errors:
         raise doc.errors[0]
@@ -42,7 +42,7 @@ def _loaded(args) -> document.Document:
 
 
 def _xref(args) -> int:
-    doc = _load(args)
+    doc = _load(args, document.STRUCTURE)
     print(report.xref_text(doc), end="")
     return 0 if doc.xref else _fail(doc.errors[0])
 
@@ -73,11 +73,10 @@ def _extract(args) -> int:
 
 
 def _object(args) -> int:
-    doc = _loaded(args)
     ref = Ref(args.num, args.gen)
+    doc = _loaded(args, ref)
     if ref not in doc.objects:
-        free = ref in doc.xref and doc.xref[ref][0].kind == document.FREE
-        raise PdfError("Object is free" if free else "Reference to unknown object", Place(ref))
+        raise PdfError("Reference to unknown object", Place(ref))
     x = doc.objects[ref]
     if isinstance(x, Stream):
         if args.decoded_stream:
@@ -93,7 +92,7 @@ def _object(args) -> int:
 
 
 def _trailer(args) -> int:
-    for t in _loaded(args).trailers:
+    for t in _loaded(args, document.STRUCTURE).trailers:
         print(pretty(t))
     return 0
 

@@ -15,6 +15,7 @@ from quire.kernels.model import TRAILER, Key, Options, PdfError, Place, Name, Re
 from quire.kernels.scan import Keyword, LexError, Scanner, SyntaxFault
 
 FREE, INUSE, COMPRESSED = "free", "inuse", "compressed"
+STRUCTURE = "structure"
 _EOL = rb"(?:\r\n|\r|\n)"
 _HEADER = re.compile(rb"%PDF-([0-9])\.([0-9])" + _EOL)
 _TAIL = re.compile(rb"(?:^|(?<=[\r\n]))startxref *" + _EOL + rb"([0-9]+) *" + _EOL + rb"(?:[\r\n]*)%%EOF[\r\n]*\Z")
@@ -397,11 +398,16 @@ class Loader:
             e.place.key = self.doc.encrypt_ref or TRAILER
             raise
 
-    def load(self) -> None:
+    def load(self, only: Ref | str | None = None) -> None:
         doc = self.doc
         self.header()
         self.structure()
+        if only == STRUCTURE:
+            return
         self.encryption()
+        if isinstance(only, Ref):
+            self.named(only)
+            return
         for ref, entries in doc.xref.items():
             doc.has_objstm |= any(e.kind == COMPRESSED for e in entries)
             doc.has_free |= ref.num != 0 and any(e.kind == FREE for e in entries)
@@ -555,13 +561,17 @@ def undefined_to_null(doc: Document) -> None:
     doc.objects = {k: edit(v, change) for k, v in doc.objects.items()}
 
 
-def load(data: bytes, options: Options | None = None) -> Document:
+def load(data: bytes, options: Options | None = None, only: Ref | str | None = None) -> Document:
+    """The document; with ``only`` just its cross-reference table and trailers (STRUCTURE), or one object besides.
+
+    The strict grammar always reads the whole file.
+    """
     doc = Document(data, options or Options())
     try:
         if len(data) > 2**31 - 1:
             raise PdfError("integer overflow")
-        load_strict(doc) if doc.options.strict else Loader(doc).load()
-        if doc.options.undefined_ref_as_null:
+        load_strict(doc) if doc.options.strict else Loader(doc).load(only)
+        if doc.options.undefined_ref_as_null and only is None:
             undefined_to_null(doc)
         if doc.options.decode_streams:
             for ref, s in sorted(doc.objects.items()):

@@ -131,3 +131,8 @@ def relink(links: DataFrame, numbers: DataFrame) -> DataFrame:
     counts = links.groupBy("file_id", "dst").agg(F.count("*").alias("n"))
     half = unique_lookup(links, to, ["file_id", "dst"], heavy_keys(counts, ["file_id", "dst"]))
     return half.join(numbers.withColumnRenamed("node", "src").withColumnRenamed("new_num", "new_src"), ["file_id", "src"]).select("file_id", "new_src", "new_dst")
+
+
+def same(a: DataFrame, b: DataFrame) -> bool:
+    """Whether two edge sets are equal, duplicates included."""
+    return a.exceptAll(b.select(a.columns)).isEmpty() and b.select(a.columns).exceptAll(a).isEmpty()

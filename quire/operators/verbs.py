@@ -8,13 +8,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quire.kernels import codecs, document, report, schema
-from quire.kernels.model import Options, PdfError
+from quire.kernels.model import Options, PdfError, Ref
 from quire.sources import pdf
 
 _NO_WARN = {"warnings"}
 
 
-def _texts(files: DataFrame, make, options: Options | None, kind: str = "STRING") -> DataFrame:
+def _texts(files: DataFrame, make, options: Options | None, kind: str = "STRING", only: Ref | str | None = None) -> DataFrame:
     """(file_id, value, error) with ``make(document)`` of each file."""
     base = {k: v for k, v in vars(options or Options()).items() if k not in _NO_WARN}
     arrow = pa.string() if kind == "STRING" else pa.binary()
@@ -22,7 +22,7 @@ def _texts(files: DataFrame, make, options: Options | None, kind: str = "STRING"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                doc = document.load(batch.column(1)[i].as_py() or b"", Options(**base))
+                doc = document.load(batch.column(1)[i].as_py() or b"", Options(**base), only)
                 value, error = None, str(doc.errors[0]) if doc.errors else None
                 if not error:
                     try:
@@ -35,8 +35,8 @@ def _texts(files: DataFrame, make, options: Options | None, kind: str = "STRING"
 
 
 def xref(files: DataFrame, options: Options | None = None) -> DataFrame:
-    """The cross-reference report of each file."""
-    return _texts(files, report.xref_text, options)
+    """The cross-reference report of each file; objects aren't read for it."""
+    return _texts(files, report.xref_text, options, only=document.STRUCTURE)
 
 
 def stats(files: DataFrame, options: Options | None = None) -> DataFrame:
@@ -86,8 +86,9 @@ def type_registry(spark: SparkSession, rules: str | None = None) -> dict[str, Da
 
 
 def object_text(files: DataFrame, num: int, gen: int = 0, options: Options | None = None) -> DataFrame:
-    """(file_id, text, is_stream) of one object of each file."""
-    return pdf.parse(files, "objects", options).where((F.col("obj_num") == num) & (F.col("obj_gen") == gen)).select("file_id", "text", "is_stream")
+    """(file_id, value, error): the text of one object of each file; only that object is read."""
+    ref = Ref(num, gen)
+    return _texts(files, lambda d: report.pretty(d.objects[ref]), options, only=ref)
 
 
 def object_stream(files: DataFrame, num: int, gen: int = 0, decoded: bool = False, options: Options | None = None) -> DataFrame:

@@ -11,7 +11,7 @@ from quire.functions import bytesql as B
 from quire.kernels import codecs, fixtures, pagelang
 from quire.kernels.model import Options
 from quire.operators import blocks, graph, layout, verbs
-from quire.session import table
+from quire.session import spread, table
 from quire.sources import pdf
 
 REF_NUM, REF_GEN, NAME = 5, 0, "Page"
@@ -221,7 +221,7 @@ def file_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _bytes(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").where("text is not null").select("doc_id", F.encode("text", "UTF-8").alias("b"))
+    return spread(table(spark, d, "documents").where("text is not null").select("doc_id", F.encode("text", "UTF-8").alias("b")), "doc_id")
 
 
 def asciihex_encode(spark: SparkSession, d: str) -> DataFrame:
@@ -314,7 +314,7 @@ def _make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def text_files(spark: SparkSession, d: str) -> DataFrame:
     """A one-page file per document."""
     docs = table(spark, d, "documents").where("text is not null").select("doc_id", "text")
-    return docs.mapInArrow(_make, "file_id BIGINT, length BIGINT, content BINARY")
+    return spread(docs, "doc_id").mapInArrow(_make, "file_id BIGINT, length BIGINT, content BINARY")
 
 
 def pdf_stats(spark: SparkSession, d: str) -> DataFrame:

@@ -7,6 +7,7 @@ any time and the table can still be read.
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -47,6 +48,20 @@ def scratch_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+_BASES: list[tuple[SparkSession, str]] = []
+
+
+@atexit.register
+def _clear() -> None:
+    """Scratch tables live as long as results may read them: until the driver ends."""
+    for spark, base in _BASES:
+        try:
+            if not spark.sparkContext._jsc.sc().isStopped():
+                remove(spark, base)
+        except Exception:  # the JVM is gone, and with it whoever would read them
+            return
+
+
 class Scratch:
     """Written tables that cut the lineage of an iterative plan.
 
@@ -60,14 +75,13 @@ class Scratch:
         self.spark = spark
         self.base = f"{scratch_root(spark)}/quire-{label}-{uuid.uuid4().hex}"
         self.n = 0
-        self.paths: dict[int, str] = {}
+        _BASES.append((spark, self.base))
 
     def cut(self, df: DataFrame) -> DataFrame:
         self.n += 1
         path = f"{self.base}/{self.n}"
         df.write.mode("overwrite").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(out)] = path
         out._quire_path = path  # type: ignore[attr-defined]
         return out
 
@@ -87,3 +101,14 @@ def remove(spark: SparkSession, path: str) -> None:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the Parquet tables under ``sf_dir``."""
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """``df`` in at least as many partitions as half the cores, for work that costs far more than reading.
+
+    Only an input of very few splits is shuffled; a large one stays as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df._jdf.queryExecution().toRdd().getNumPartitions() * 2 >= cores:
+        return df
+    return df.repartition(cores, key)

@@ -157,7 +157,8 @@ def rows_of(doc: D.Document, table: str, types: schema.Registry | None = None) -
 
 
 def _safe(fid: int, content: bytes | None, options: Options, tables: tuple[str, ...], types: schema.Registry | None) -> Iterator[tuple[str, dict[str, Any]]]:
-    doc = D.load(content or b"", Options(**{k: v for k, v in vars(options).items() if k != "warnings"}))
+    only = D.STRUCTURE if set(tables) <= {"xref_entries", "trailers"} else None
+    doc = D.load(content or b"", Options(**{k: v for k, v in vars(options).items() if k != "warnings"}), only)
     for t in tables:
         yield from ((t, row) for row in rows_of(doc, t, types))
 

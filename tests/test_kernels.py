@@ -286,6 +286,30 @@ def test_cleanup_is_idempotent(options):
         assert any(isinstance(s, Stream) and D.decode_stream(s, Place(), Options()).endswith(b"ET\nq Q") for s in doc.objects.values())
 
 
+def test_reading_less():
+    raw = fixtures.hello_file("x")
+    doc = D.load(raw, only=D.STRUCTURE)
+    assert doc.complete and not doc.objects and R.xref_text(doc) == R.xref_text(D.load(raw))
+    assert list(D.load(compressed(), only=Ref(5, 0)).objects) == [Ref(8, 0), Ref(5, 0)]
+    assert "undeclared" in str(D.load(raw, only=Ref(50, 0)).errors[0]) and "free object" in str(D.load(raw, only=Ref(0, 65535)).errors[0])
+
+
+def test_command_line(tmp_path, capsys):
+    from quire.cli import main
+
+    f, bad = tmp_path / "a.pdf", tmp_path / "b.pdf"
+    f.write_bytes(fixtures.hello_file("x"))
+    bad.write_bytes(b"%PDF-1.4\n")
+    run = lambda *a: (main([str(x) for x in a]), capsys.readouterr().out)
+    assert run("stats", f) == (0, CLEAN) and run("stats", bad)[0] == 2 and run("findref", "--num", 9, f) == (255, "Not found\n")
+    assert run("findref", "--num", 5, f) == (0, "Found in object 3 at entry /Resources/Font/F1\nFound 1 occurrence(s) in 1 object(s).\n")
+    assert run("trailer", f)[1].startswith("<<\n    /Info 6 0 R") and run("object", "--num", 6, f)[1].startswith("<<\n    /Title (text)") and run("types")[0] == 0
+    assert run("cleanup", "--out", tmp_path / "c.pdf", f)[0] == 0 and D.load((tmp_path / "c.pdf").read_bytes()).complete
+    assert run("extract", "--xref", tmp_path / "x", "--dot", tmp_path / "d", "--types", tmp_path / "t", f)[0] == 0 and "7 object(s) in total" in (tmp_path / "x").read_text()
+    with pytest.raises(SystemExit):
+        main(["stats", str(tmp_path / "none.pdf")])
+
+
 def test_search_graph_and_layout():
     doc = D.load(fixtures.hello_file("x"))
     assert R.find(doc, Ref(2, 0)) == [(Ref(1, 0), "/Pages"), (Ref(3, 0), "/Parent")] and (Ref(5, 0), "/Type") in R.find(doc, "Font") and (Ref(3, 0), "/Resources\\Font") in R.find(doc, "Font")

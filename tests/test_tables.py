@@ -46,7 +46,8 @@ def test_verbs(spark, files):
     clean = verbs.cleanup(files).where("error is null").collect()
     assert len(clean) == 2 and all(r.value.startswith(b"%PDF-1.7") for r in clean)
     assert [bytes(r.data) for r in verbs.object_stream(files, 4, decoded=True).where("file_id = 1").collect()] == [b"BT /F1 12 Tf 10 20 Td (beta) Tj ET"]
-    assert verbs.object_text(files, 6).where("file_id = 0").first().text.startswith("<<\n    /Title (text)")
+    assert verbs.object_text(files, 6).where("file_id = 0").first().value.startswith("<<\n    /Title (text)")
+    assert "undeclared object" in verbs.object_text(files, 77).where("file_id = 0").first().error
     assert verbs.type_registry(spark)["classes"].count() == 115
     for v in (verbs.extract, verbs.dot, verbs.visjs, verbs.locations, verbs.holes, verbs.types):
         assert v(files).where("file_id = 0").first().error is None
