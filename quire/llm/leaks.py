@@ -22,7 +22,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from quire.session import Scratch
+from quire.session import Scratch, spread
 
 GRAM = 5  # words of a seed
 RUN = 12  # words of a shared run that is reported as verbatim
@@ -197,7 +197,7 @@ def _block(documents: DataFrame, rows: list[tuple[int, str]], scratch: Scratch)
     spark = documents.sparkSession
     items = Items(rows)
     index = spark.sparkContext.broadcast(items)
-    passages = scratch.cut(documents.mapInArrow(_passages(index), _PASSAGE))
+    passages = scratch.cut(spread(documents, "doc_id").mapInArrow(_passages(index), _PASSAGE))
     df = passages.select("doc_id", F.explode("grams").alias("g")).groupBy("g").agg(F.count_distinct("doc_id").alias("n"))
     seeds = spark.sparkContext.broadcast(items.seeds({r.g: r.n for r in df.collect()}))  # at most one row per n-gram of the block
     hits = passages.select("doc_id", "words", "grams").repartition(spark.sparkContext.defaultParallelism * 2)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from quire.llm import tokens as T
-from quire.session import Scratch
+from quire.session import Scratch, spread
 
 GROUP = 20_000
 CAPACITIES_MAX = 256
@@ -69,7 +69,7 @@ def _count(vocabulary: str):
 def count_tokens(documents: DataFrame, vocabulary: str = T.VOCABULARY, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, tokens) of every document; a null text is no item, an empty one has 0 tokens."""
     docs = documents.where(F.col(text).isNotNull()).select(F.col(doc).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    return docs.mapInArrow(_count(vocabulary), "doc_id BIGINT, tokens BIGINT")
+    return spread(docs, "doc_id").mapInArrow(_count(vocabulary), "doc_id BIGINT, tokens BIGINT")
 
 
 def _pack(packs: list[tuple[int, int]]):
