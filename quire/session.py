@@ -41,7 +41,7 @@ def scratch_root(spark: SparkSession) -> str:
     conf = spark.sparkContext.getConf()
     root = conf.get("spark.checkpoint.dir", None) or spark.conf.get("quire.scratch.dir", None)
     if not root:
-        if not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="quire-scratch-")
         spark.conf.set("quire.scratch.dir", root)
