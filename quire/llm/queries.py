@@ -65,4 +65,10 @@ m AS (SELECT *, CASE WHEN n_records < 3 THEN 'rare' WHEN n_records > 0.5 * (SELE
 SQL = {
     "p1_found": f"WITH {_COUNTS.strip()} SELECT field, term FROM m WHERE mark <> 'kept'",
     "p1_counts": f"WITH {_COUNTS.strip()} SELECT field, term, occurrences, n_records, mark FROM m",
+    "p7_found": """WITH d AS (SELECT doc_id AS id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS l FROM documents),
+        b AS (SELECT item_id AS id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS l FROM benchmark),
+        dw AS (SELECT id, generate_subscripts(l, 1) AS i, unnest(l) AS w FROM d), bw AS (SELECT id, generate_subscripts(l, 1) AS i, unnest(l) AS w FROM b),
+        x AS (SELECT id, string_agg(w, ' ') OVER r AS k, count(*) OVER r AS n FROM dw WINDOW r AS (PARTITION BY id ORDER BY i ROWS BETWEEN CURRENT ROW AND 11 FOLLOWING)),
+        y AS (SELECT id, string_agg(w, ' ') OVER r AS k, count(*) OVER r AS n FROM bw WINDOW r AS (PARTITION BY id ORDER BY i ROWS BETWEEN CURRENT ROW AND 11 FOLLOWING))
+        SELECT DISTINCT x.id AS doc_id, y.id AS item_id FROM x JOIN y ON x.k = y.k WHERE x.n = 12 AND y.n = 12""",
 }
