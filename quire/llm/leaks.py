@@ -2,10 +2,11 @@
 
 One pass over the training texts turns each into word numbers of the test
 vocabulary and keeps only passages around n-grams that the test items hold.
-From the passages comes the document frequency of every such n-gram; for each
-window of ``RUN`` words of an item its rarest n-gram becomes a seed, so no
-shared run of that length can be missed.  Passages that hold a seed are aligned
-to the seed's items; verbatim, edited and partial copies all score.
+From the passages comes the document frequency of every such n-gram; every
+n-gram that few items hold is a seed, and for each window of ``RUN`` words of an
+item its rarest n-gram, so no shared run of that length can be missed.  Passages
+that hold a seed and can reach the least score are aligned to the seed's items;
+verbatim, edited and partial copies all score.
 
 Test items are worked on in blocks of bounded size, each against all
 documents, so what is broadcast doesn't grow with the test set.
@@ -31,6 +32,7 @@ MATCH, MISMATCH, GAP = 2, -1, -1
 RARE_ITEMS = 3  # items that may hold a seed of edited copies
 MIN_SCORE = RUN * MATCH  # a verbatim run of RUN words reaches it
 BLOCK_CHARS = 4_000_000  # text of the test items of one block
+CELLS = 1 << 15  # words of the passages that are aligned to an item at once
 
 _SEP = r"[^\pL\pN]+"
 _MULT = np.uint64(0x9E3779B97F4A7C15)
@@ -77,12 +79,11 @@ class Items:
         self.at = [np.searchsorted(self.grams, g).astype(np.int32) for g in per]
 
     def seeds(self, df: dict[int, int]) -> dict[int, list[int]]:
-        """n-gram to the items it is a seed of: of each RUN-word window the one in the fewest documents.
+        """n-gram to the items it is a seed of: all that at most RARE_ITEMS items hold, so that a copy's edits can't hide it.
 
-        N-grams in no document can't be seeds.  A window some of whose n-grams
-        are in no document can be copied only with edits; it gets a seed only
-        if that is in at most RARE_ITEMS items, and so no stock phrase.  Items
-        shorter than RUN words are one window.
+        Of the others, of each RUN-word window that is wholly in the documents
+        the one in the fewest of them.  N-grams in no document can't be seeds.
+        Items shorter than RUN words are one window.
         """
         items: dict[int, int] = defaultdict(int)
         for g in self.at:
@@ -91,13 +92,13 @@ class Items:
         out: dict[int, set[int]] = defaultdict(set)
         for i, g in enumerate(self.at):
             rank = [(df.get(x, 0), items[x], x) for x in g.tolist()]
+            for n, held, x in rank:
+                if n and held <= RARE_ITEMS:
+                    out[x].add(i)
             for a in range(max(1, len(rank) - (RUN - GRAM))):
                 window = rank[a : a + RUN - GRAM + 1]
-                there = [r for r in window if r[0]]
-                if len(there) < len(window):
-                    there = [r for r in there if r[1] <= RARE_ITEMS]
-                if there:
-                    out[min(there)[2]].add(i)
+                if window and all(r[0] for r in window):
+                    out[min(window)[2]].add(i)
         return {g: sorted(s) for g, s in out.items()}
 
 
@@ -174,19 +175,68 @@ def align(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
     return best, longest, matched
 
 
+def align_many(passages: list[np.ndarray], item: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``align`` of each passage to one item, word by word of the item over all passages at once."""
+    n = max(map(len, passages))
+    b = np.zeros((len(passages), n), np.int32)
+    for row, p in zip(b, passages):
+        row[: len(p)] = p
+    step = -GAP * np.arange(1, n + 1, dtype=np.int32)
+    prev, runs, new = (np.zeros((len(b), n + 1), np.int32) for _ in range(3))
+    best, longest, matched = (np.zeros(len(b), np.int32) for _ in range(3))
+    for w in item.tolist():
+        same = b == w
+        matched += same.any(axis=1)
+        np.multiply(runs[:, :-1] + 1, same, out=new[:, 1:])
+        runs, new = new, runs
+        np.maximum(longest, runs.max(axis=1), out=longest)
+        h = prev[:, :-1] + np.where(same, np.int32(MATCH), np.int32(MISMATCH))
+        np.maximum(h, prev[:, 1:] + GAP, out=h)
+        np.maximum(h, 0, out=h)
+        h += step
+        np.subtract(np.maximum.accumulate(h, axis=1), step, out=prev[:, 1:])
+        np.maximum(best, prev.max(axis=1), out=best)
+    return best, longest, matched
+
+
+def bounds(passages: list[np.ndarray], item: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """The most each passage can score: a word of the item gains MATCH, any other costs a mismatch or gap; best stretch of these.
+
+    ``known`` is all False, longer than the vocabulary, and comes back so.
+    """
+    sizes = np.array([len(p) for p in passages])
+    heads = np.append(0, np.cumsum(sizes + 1)[:-1])
+    words = np.zeros(int(sizes.sum()) + len(sizes), np.int32)
+    for at, p in zip(heads.tolist(), passages):
+        words[at + 1 : at + 1 + len(p)] = p
+    known[item] = True
+    gain = np.where(known[words], MATCH, max(MISMATCH, GAP)).astype(np.int64)
+    known[item] = False
+    gain[heads] = -MATCH * len(words)  # deeper than all before, so that no stretch goes over a head
+    total = np.cumsum(gain)
+    return np.maximum.reduceat(total - np.minimum.accumulate(total), heads)
+
+
 def _aligner(index, seeds):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         it, seed = index.value, seeds.value
+        known = np.zeros(len(it.vocab) + 1, bool)
         for batch in batches:
             rows: list[tuple] = []
-            for doc, words, grams in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
-                items = sorted({i for g in grams for i in seed.get(g, ())})
-                if items:
-                    a = words.values.to_numpy()
-                    for i in items:
-                        score, longest, matched = align(a, it.words[i])
-                        if score >= MIN_SCORE:
-                            rows.append((doc, it.ids[i], score, longest, matched))
+            docs, words = batch.column(0).to_pylist(), [w.values.to_numpy() for w in batch.column(1)]
+            held: dict[int, list[int]] = defaultdict(list)
+            for k, grams in enumerate(batch.column(2).to_pylist()):
+                for i in {i for g in grams for i in seed.get(g, ())}:
+                    held[i].append(k)
+            for i, ks in sorted(held.items()):
+                item = it.words[i]
+                most = bounds([words[k] for k in ks], item, known)
+                ks = sorted((k for k, m in zip(ks, most.tolist()) if m >= MIN_SCORE), key=lambda k: len(words[k]))
+                while ks:
+                    size = max(1, CELLS // len(words[ks[-1]]))
+                    part, ks = ks[-size:], ks[:-size]
+                    aligned = align_many([words[k] for k in part], item) if len(part) > 1 else [[x] for x in align(words[part[0]], item)]
+                    rows += [(docs[k], it.ids[i], int(s), int(r), int(m)) for k, s, r, m in zip(part, *aligned) if s >= MIN_SCORE]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _ALIGNED_ARROW)], schema=_ALIGNED_ARROW)
 

@@ -34,6 +34,17 @@ def test_alignment():
         assert leaks.align(a.astype(np.int32), b.astype(np.int32))[0] == smith_waterman(list(a), list(b))
 
 
+def test_alignment_of_many():
+    r = np.random.default_rng(2)
+    for _ in range(40):
+        item = r.integers(1, 6, r.integers(1, 25)).astype(np.int32)
+        passages = [r.integers(0, 9, r.integers(1, 40)).astype(np.int32) for _ in range(r.integers(1, 9))]
+        want = [leaks.align(p, item) for p in passages]
+        assert list(zip(*(x.tolist() for x in leaks.align_many(passages, item)))) == want
+        known = np.zeros(10, bool)
+        assert all(b >= w[0] for b, w in zip(leaks.bounds(passages, item, known), want)) and not known.any()
+
+
 def corpus():
     r = random.Random(4)
     vocab = [f"w{i}" for i in range(60)] + ["the", "of"] * 10
@@ -76,3 +87,11 @@ def test_empty(spark):
     docs, items = corpus()
     assert leaks.leaks(none[0], spark.createDataFrame(items, ITEMS)).count() == 0
     assert leaks.leaks(spark.createDataFrame(docs, DOCS), none[1]).count() == 0
+
+
+def test_edited_copy_beside_a_verbatim_one(spark):
+    words = [f"term{i}" for i in range(60)]
+    edited = [w if i % 9 else "changed" for i, w in enumerate(words)]
+    docs = [(1, " ".join(words), None, None), (2, " ".join(edited), None, None), (3, " ".join(words[:30]), None, None)]
+    rows = leaks.leaks(spark.createDataFrame(docs, DOCS), spark.createDataFrame([(5, " ".join(words), 0)], ITEMS)).collect()
+    assert sorted((r.doc_id, r.run) for r in rows) == [(1, 60), (2, 8), (3, 30)]
