@@ -1,12 +1,11 @@
-"""Evaluation passages in training text: rare n-gram seeds, then Smith-Waterman alignment.
+"""Evaluation passages in training text: n-gram seeds, then Smith-Waterman alignment.
 
 One pass over the training texts turns each into word numbers of the test
 vocabulary and keeps only passages around n-grams that the test items hold.
-From the passages comes the document frequency of every such n-gram; every
-n-gram that few items hold is a seed, and for each window of ``RUN`` words of an
-item its rarest n-gram, so no shared run of that length can be missed.  Passages
-that hold a seed and can reach the least score are aligned to the seed's items;
-verbatim, edited and partial copies all score.
+Every n-gram of an item is a seed, however many documents or items hold it, so
+no edit of one copy and no likeness of two items can hide another copy.
+Passages that can reach the least score, by an exact bound, are aligned to the
+items of their seeds; verbatim, edited and partial copies all score.
 
 Test items are worked on in blocks of bounded size, each against all
 documents, so what is broadcast doesn't grow with the test set.
@@ -29,7 +28,6 @@ GRAM = 5  # words of a seed
 RUN = 12  # words of a shared run that is reported as verbatim
 PAD = 160  # words kept on either side of a hit, so that edited copies align as a whole
 MATCH, MISMATCH, GAP = 2, -1, -1
-RARE_ITEMS = 3  # items that may hold a seed of edited copies
 MIN_SCORE = RUN * MATCH  # a verbatim run of RUN words reaches it
 BLOCK_CHARS = 4_000_000  # text of the test items of one block
 CELLS = 1 << 15  # words of the passages that are aligned to an item at once
@@ -78,28 +76,13 @@ class Items:
         self.grams = self.grams[self.grams != 0]
         self.at = [np.searchsorted(self.grams, g).astype(np.int32) for g in per]
 
-    def seeds(self, df: dict[int, int]) -> dict[int, list[int]]:
-        """n-gram to the items it is a seed of: all that at most RARE_ITEMS items hold, so that a copy's edits can't hide it.
-
-        Of the others, of each RUN-word window that is wholly in the documents
-        the one in the fewest of them.  N-grams in no document can't be seeds.
-        Items shorter than RUN words are one window.
-        """
-        items: dict[int, int] = defaultdict(int)
-        for g in self.at:
-            for x in set(g.tolist()):
-                items[x] += 1
-        out: dict[int, set[int]] = defaultdict(set)
+    def seeds(self) -> dict[int, list[int]]:
+        """n-gram to the items that hold it; each is a seed of all of them."""
+        out: dict[int, list[int]] = defaultdict(list)
         for i, g in enumerate(self.at):
-            rank = [(df.get(x, 0), items[x], x) for x in g.tolist()]
-            for n, held, x in rank:
-                if n and held <= RARE_ITEMS:
-                    out[x].add(i)
-            for a in range(max(1, len(rank) - (RUN - GRAM))):
-                window = rank[a : a + RUN - GRAM + 1]
-                if window and all(r[0] for r in window):
-                    out[min(window)[2]].add(i)
-        return {g: sorted(s) for g, s in out.items()}
+            for x in np.unique(g).tolist():
+                out[x].append(i)
+        return out
 
 
 def _passages(index):
@@ -248,8 +231,7 @@ def _block(documents: DataFrame, rows: list[tuple[int, str]], scratch: Scratch)
     items = Items(rows)
     index = spark.sparkContext.broadcast(items)
     passages = scratch.cut(spread(documents, "doc_id").mapInArrow(_passages(index), _PASSAGE))
-    df = passages.select("doc_id", F.explode("grams").alias("g")).groupBy("g").agg(F.count_distinct("doc_id").alias("n"))
-    seeds = spark.sparkContext.broadcast(items.seeds({r.g: r.n for r in df.collect()}))  # at most one row per n-gram of the block
+    seeds = spark.sparkContext.broadcast(items.seeds())
     hits = passages.select("doc_id", "words", "grams").repartition(spark.sparkContext.defaultParallelism * 2)
     return hits.mapInArrow(_aligner(index, seeds), _ALIGNED)
 

@@ -95,3 +95,11 @@ def test_edited_copy_beside_a_verbatim_one(spark):
     docs = [(1, " ".join(words), None, None), (2, " ".join(edited), None, None), (3, " ".join(words[:30]), None, None)]
     rows = leaks.leaks(spark.createDataFrame(docs, DOCS), spark.createDataFrame([(5, " ".join(words), 0)], ITEMS)).collect()
     assert sorted((r.doc_id, r.run) for r in rows) == [(1, 60), (2, 8), (3, 30)]
+
+
+def test_edited_copy_of_items_that_are_alike(spark):
+    words = [f"term{i}" for i in range(60)]
+    edited = [w if i % 9 else "changed" for i, w in enumerate(words)]
+    items = [(i, " ".join([*words, f"own{i}"]), 0) for i in range(6)]
+    rows = leaks.leaks(spark.createDataFrame([(1, " ".join(edited), None, None)], DOCS), spark.createDataFrame(items, ITEMS)).collect()
+    assert sorted((r.item_id, r.run) for r in rows) == [(i, 8) for i in range(6)]
