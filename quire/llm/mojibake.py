@@ -34,9 +34,8 @@ WRONG = ("cp1252", "latin-1", "cp1250", "iso8859-2", "cp1251", "koi8-r", "cp1254
 TRUE_SINGLE = ("cp1252", "cp1250", "iso8859-2", "cp1251", "koi8-r", "cp1254", "mac_roman", "cp437", "cp850", "cp866")
 TRUE_WIDE = ("shift_jis", "euc_jp")
 
-WORDS_MAX = 30_000  # commonest words and Japanese pairs whose garbled forms are precomputed
 WORD_CHARS = 40  # longer words are left out of that list
-DOCS_MIN = 3  # documents a word must be in
+DOCS_MIN = 3  # documents from which on a word outweighs garbled forms in fewer; a rarer one must be the commoner by count
 DOMINANCE = 2  # times as many documents as its garbled form
 ROUNDS = 3  # repairs of text that was garbled repeatedly
 
@@ -94,16 +93,21 @@ def _cyrillic(s: str) -> bool:
 def patterns(df: dict[str, int]) -> dict[str, tuple[str, int, bool]]:
     """Garbled sequence to (original, strength, must stand alone), given the documents of each word."""
     out: dict[str, tuple[str, int, bool]] = {}
-    known = sorted((w for w, n in df.items() if n >= DOCS_MIN), key=lambda w: (-df[w], w))
+    known = sorted(df, key=lambda w: (-df[w], w))
     total: Counter[str] = Counter()
+    common: Counter[str] = Counter()
     for w, n in df.items():
         total[w.lower()] += n
+        if n >= DOCS_MIN:
+            common[w.lower()] += n
 
     # Words of the collection, in the ways they may be written.
     best: dict[str, int] = {}
+    firm: set[str] = set()  # garbled forms of words in DOCS_MIN documents, which a rare word never takes over
     for w in known:
         wide = bool(_WIDE.search(w))
-        n = df[w] if wide else total[w.lower()]
+        rare = df[w] < DOCS_MIN
+        forms, n = (total, df[w] if wide else total[w.lower()]) if rare else (common, df[w] if wide else common[w.lower()])
         for form in (w,) if wide else {w, w.lower(), w.capitalize(), w.upper()}:
             for true in ("utf-8", *TRUE_WIDE) if wide else (*TRUE_SINGLE, "utf-8"):
                 try:
@@ -114,10 +118,17 @@ def patterns(df: dict[str, int]) -> dict[str, tuple[str, int, bool]]:
                     g = codecs.charmap_decode(raw, "strict", _table(wrong))[0]
                     if g == form or g.isascii() or len(g) < 2 or (len(g) == 2 and g.isalpha()):
                         continue
-                    if n > best.get(g, 0) and n >= DOMINANCE * df.get(g, 0) and total[g.lower()] < n:
+                    if rare and g in firm:
+                        continue
+                    seen = df.get(g, 0)
+                    if not rare and seen < DOCS_MIN:
+                        seen = 0
+                    if n > best.get(g, 0) and n >= DOMINANCE * seen and forms[g.lower()] < n:
                         best[g] = n
                         out[g] = (form, STRONG, not wide)
-    trusted = "\n".join(w for w in known if w not in out)
+                        if not rare:
+                            firm.add(g)
+    trusted = "\n".join(w for w in known if df[w] >= DOCS_MIN and w not in out)
 
     # Single Japanese characters, which count only beside a pair.
     singles = {c for w in known if _WIDE.search(w) for c in w}
@@ -267,6 +278,5 @@ def garbled(documents: DataFrame, repair: bool = True, doc: str = "doc_id", text
     spark = documents.sparkSession
     docs = spread(documents.where(F.octet_length(text) > F.char_length(text)).select(F.col(doc).cast("bigint").alias("doc_id"), F.col(text).alias("text")), "doc_id")
     counted = docs.select("text").mapInArrow(_count, "word STRING, n BIGINT").groupBy("word").agg(F.sum("n").alias("n"))
-    top = counted.where(F.col("n") >= DOCS_MIN).orderBy(F.desc("n"), "word").limit(WORDS_MAX).collect()
-    found = spark.sparkContext.broadcast(patterns({r.word: r.n for r in top}))
+    found = spark.sparkContext.broadcast(patterns({r.word: r.n for r in counted.collect()}))
     return docs.mapInArrow(_finder(uuid.uuid4().hex, found, repair), "doc_id BIGINT, spans INT, lost INT, repaired STRING")

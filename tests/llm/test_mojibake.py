@@ -54,3 +54,12 @@ def test_query(spark):
     assert by[100].repaired == f"ok\n{GOOD[0]}\n{GOOD[4]}" and by[101].repaired is None and by[101].lost == 1
     assert sorted(r.doc_id for r in M.garbled(df, repair=False).select("doc_id").distinct().collect()) == [100, 101, 106]
     assert M.garbled(df.limit(0)).count() == 0
+
+
+def test_rare_words_and_long_lists(spark, monkeypatch):
+    monkeypatch.setattr(M, "WORDS_MAX", 5, raising=False)
+    bad = {i: M.garble(w, "cp1250", "cp1252") for i, w in enumerate(["čeština", "příklad"])}
+    rows = [(i, t) for i, t in enumerate([*GOOD * 6, *["čeština"] * 2, *["příklad"] * 3])]
+    rows += [(100 + i, f"x {b} y") for i, b in bad.items()]
+    got = M.garbled(spark.createDataFrame(rows, "doc_id BIGINT, text STRING")).collect()
+    assert sorted((r.doc_id, r.repaired) for r in got) == [(100, "x čeština y"), (101, "x příklad y")]
