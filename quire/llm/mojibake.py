@@ -37,7 +37,6 @@ TRUE_WIDE = ("shift_jis", "euc_jp")
 WORD_CHARS = 40  # longer words are left out of that list
 DOCS_MIN = 3  # documents from which on a word outweighs garbled forms in fewer; a rarer one must be the commoner by count
 DOMINANCE = 2  # times as many documents as its garbled form
-ROUNDS = 3  # repairs of text that was garbled repeatedly
 
 _WORD = re.compile(r"[A-Za-z]*[^\x00-\x7f\s](?:[A-Za-z]|[^\x00-\x7f\s])*")
 _WIDE = re.compile("[、-ヿ一-鿿！-～]")
@@ -193,15 +192,17 @@ class Matcher:
         return out
 
     def repair(self, line: str) -> str:
-        for _ in range(ROUNDS):
-            spans = self.spans(line)
-            if not spans:
-                break
+        """The line repaired until no span is left, however often it was garbled; a line that comes back ends it."""
+        seen = {line}
+        while spans := self.spans(line):
             parts, at = [], 0
             for start, end, original in spans:
                 parts += [line[at:start], original]
                 at = end
             line = "".join([*parts, line[at:]])
+            if line in seen:
+                break
+            seen.add(line)
         return line
 
 

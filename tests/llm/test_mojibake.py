@@ -63,3 +63,15 @@ def test_rare_words_and_long_lists(spark, monkeypatch):
     rows += [(100 + i, f"x {b} y") for i, b in bad.items()]
     got = M.garbled(spark.createDataFrame(rows, "doc_id BIGINT, text STRING")).collect()
     assert sorted((r.doc_id, r.repaired) for r in got) == [(100, "x čeština y"), (101, "x příklad y")]
+
+
+def test_text_garbled_many_times_is_restored():
+    m = M.Matcher(M.patterns(table()))
+    bad = GOOD[1]
+    for _ in range(6):
+        bad = M.garble(bad, "utf-8", "cp1252")
+    assert m.repair(bad) == GOOD[1]
+
+
+def test_repair_that_goes_in_a_circle_ends():
+    assert M.Matcher({"éà": ("àé", M.STRONG, False), "àé": ("éà", M.STRONG, False)}).repair("éà") == "éà"
