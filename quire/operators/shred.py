@@ -117,3 +117,18 @@ def pivot(t: DataFrame, group: str, keys: list[str]) -> DataFrame:
     return rows.groupBy("object_id", F.col("parent_ord").alias("ord")).agg(
         *[F.max_by(shown, F.when(F.col("elem_name") == k, F.col("ord"))).alias(f"k_{k}") for k in keys]
     )
+
+
+def pivots(t: DataFrame) -> DataFrame:
+    """Every repeated ancestor as a table at once: ``pivot`` with a map of all its keys in place of a column per key.
+
+    The rows of one group are its table; its columns are the keys of
+    ``groups``.  Values are as in ``pivot``: of a key given twice the last wins.
+    """
+    shown = F.when(F.col("kind").isin("dict", "array"), F.concat(F.lit("@"), F.col("ord"))).otherwise(F.col("value"))
+    entries = t.where("elem_name is not null").select("parent_group", "object_id", F.col("parent_ord").alias("ord"), F.struct(F.col("ord").alias("at"), "elem_name", shown.alias("shown")).alias("e"))
+    rows = entries.groupBy("parent_group", "object_id", "ord").agg(F.array_sort(F.collect_list("e")).alias("es"))
+    # A key's last entry is the one whose name doesn't come again behind it.
+    names = F.transform("es", lambda e: e["elem_name"])
+    last = F.filter("es", lambda e, i: ~F.array_contains(F.slice(names, i + 2, F.size(names)), e["elem_name"]))
+    return rows.select("parent_group", "object_id", "ord", F.map_from_entries(F.transform(last, lambda e: F.struct(e["elem_name"], e["shown"]))).alias("cells"))

@@ -43,6 +43,31 @@ def p3_outline_table(spark: SparkSession, d: str) -> DataFrame:
     return shred.pivot(shred.triples(table(spark, d, "objects")), "", keys).where("k_Title is not null")
 
 
+def p3_tables(spark: SparkSession, d: str) -> DataFrame:
+    """Every group as a table: its rows with a map of all keys they hold."""
+    return shred.pivots(shred.triples(table(spark, d, "objects")))
+
+
+def _flat(name: str, spark: SparkSession, d: str) -> DataFrame:
+    return shred.tables(shred.triples(table(spark, d, "objects")))[name]
+
+
+def p3_dictionaries(spark: SparkSession, d: str) -> DataFrame:
+    return _flat("dictionaries", spark, d)
+
+
+def p3_arrays(spark: SparkSession, d: str) -> DataFrame:
+    return _flat("arrays", spark, d)
+
+
+def p3_entries(spark: SparkSession, d: str) -> DataFrame:
+    return _flat("entries", spark, d)
+
+
+def p3_elements(spark: SparkSession, d: str) -> DataFrame:
+    return _flat("elements", spark, d)
+
+
 def _orphans(spark: SparkSession, d: str) -> DataFrame:
     return orphans.orphans(*(table(spark, d, t) for t in ("object_refs", "streams", "objects", "xref_entries", "run_params")))
 
@@ -89,6 +114,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         p2_found, p2_rejected, p2_valid, p3_found, p3_triples, p3_references, p3_groups, p3_outline_table,
+        p3_tables, p3_dictionaries, p3_arrays, p3_entries, p3_elements,
         p4_found, p4_report, p5_found, p5_paths, p5_descendants,
     )
 }

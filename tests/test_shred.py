@@ -42,3 +42,16 @@ def test_tables(spark):
     assert [w[2:] for w in wide if w[0] == 4] == [("1", None), ("2", "3")]
     assert {r.parent_group: r.n_dicts for r in shred.groups(t).collect()}["/Kids[]"] == 3
     assert shred.containers(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_every_group_has_its_table(spark):
+    rows = [(1, TEXT), (4, "<</Type/Page/Kids[<</T 1/T null/T 5>><</T 2/U 3/V [1]>>]>>"), (5, "<</Q<</X/a>>>>"), (6, "<<>>"), (7, "<</Z null/Z null>>")]
+    t = shred.triples(spark.createDataFrame(rows, "object_id BIGINT, literal STRING"))
+    got = shred.pivots(t).collect()
+    for g in shred.groups(t).collect():
+        here = {(r.object_id, r.ord): r.cells for r in got if r.parent_group == g.parent_group}
+        wide = shred.pivot(t, g.parent_group, g["keys"]).collect()
+        assert len(here) == len(wide) == g.n_dicts
+        assert {k for c in here.values() for k in c} == set(g["keys"])
+        assert all(here[r.object_id, r.ord].get(k) == r[f"k_{k}"] for r in wide for k in g["keys"])
+    assert {"", "/Kids[]", "/Q"} <= {r.parent_group for r in got}
