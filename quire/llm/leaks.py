@@ -28,7 +28,7 @@ GRAM = 5  # words of a seed
 RUN = 12  # words of a shared run that is reported as verbatim
 PAD = 160  # words kept on either side of a hit, so that edited copies align as a whole
 MATCH, MISMATCH, GAP = 2, -1, -1
-MIN_SCORE = RUN * MATCH  # a verbatim run of RUN words reaches it
+MIN_SCORE = RUN * MATCH  # a verbatim run of RUN words reaches it; of a shorter item the whole item
 BLOCK_CHARS = 4_000_000  # text of the test items of one block
 CELLS = 1 << 15  # words of the passages that are aligned to an item at once
 
@@ -213,13 +213,14 @@ def _aligner(index, seeds):
                     held[i].append(k)
             for i, ks in sorted(held.items()):
                 item = it.words[i]
+                least = min(MIN_SCORE, MATCH * len(item))
                 most = bounds([words[k] for k in ks], item, known)
-                ks = sorted((k for k, m in zip(ks, most.tolist()) if m >= MIN_SCORE), key=lambda k: len(words[k]))
+                ks = sorted((k for k, m in zip(ks, most.tolist()) if m >= least), key=lambda k: len(words[k]))
                 while ks:
                     size = max(1, CELLS // len(words[ks[-1]]))
                     part, ks = ks[-size:], ks[:-size]
                     aligned = align_many([words[k] for k in part], item) if len(part) > 1 else [[x] for x in align(words[part[0]], item)]
-                    rows += [(docs[k], it.ids[i], int(s), int(r), int(m)) for k, s, r, m in zip(part, *aligned) if s >= MIN_SCORE]
+                    rows += [(docs[k], it.ids[i], int(s), int(r), int(m)) for k, s, r, m in zip(part, *aligned) if s >= least]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _ALIGNED_ARROW)], schema=_ALIGNED_ARROW)
 
@@ -240,7 +241,8 @@ def leaks(documents: DataFrame, benchmark: DataFrame, doc: str = "doc_id", text:
     """(doc_id, item_id, score, run, matched): every document that holds a passage of a test item.
 
     ``run`` is the longest run of words both share; ``score`` the best local
-    alignment (2 a match, -1 a mismatch or gap), 24 at least; ``matched`` the
+    alignment (2 a match, -1 a mismatch or gap), 24 at least or all of an item
+    of 5 to 11 words (a shorter one holds no n-gram); ``matched`` the
     words of the item that occur in the passage.  Null or empty texts and
     items hold no words and leak nothing; repeated documents or items give one
     row per pair of ids; texts are read whole, whatever their length.

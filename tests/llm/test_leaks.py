@@ -103,3 +103,9 @@ def test_edited_copy_of_items_that_are_alike(spark):
     items = [(i, " ".join([*words, f"own{i}"]), 0) for i in range(6)]
     rows = leaks.leaks(spark.createDataFrame([(1, " ".join(edited), None, None)], DOCS), spark.createDataFrame(items, ITEMS)).collect()
     assert sorted((r.item_id, r.run) for r in rows) == [(i, 8) for i in range(6)]
+
+
+def test_short_item_copied_whole(spark):
+    items = [(1, "one two three four five six", 0), (2, "one two three four five seven", 0)]
+    rows = leaks.leaks(spark.createDataFrame([(1, "zero one two three four five six", None, None)], DOCS), spark.createDataFrame(items, ITEMS)).collect()
+    assert [(r.doc_id, r.item_id, r.score, r.run) for r in rows] == [(1, 1, 12, 6)]
