@@ -1,8 +1,11 @@
 """Rows that fail to parse: typed valid rows and rejected rows with a reason.
 
-The raw text is read permissively by ``from_csv`` under an explicit schema that
-keeps the corrupt raw text; each row is then classified by quoting, field count
-and cast checks.  All of it runs inside the JVM in one pass over the input.
+The raw text is read permissively by ``from_csv`` under a typed schema, whose
+column for the corrupt text is the reader's verdict.  A row that the reader took
+and that holds nothing it is lenient about is valid once its values are in
+range.  All others, the corrupt ones first of all, are classified again from
+the retained text by quoting, field count and cast checks.  All of it runs
+inside the JVM in one pass over the input.
 """
 
 from __future__ import annotations
@@ -10,12 +13,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 FIELDS = ("file_id", "obj_num", "obj_gen", "kind", "off", "idx", "zero_offset_as_free", "note")
-_READ = ", ".join(f"{f} STRING" for f in FIELDS) + ", _corrupt STRING"
+_TYPED = "file_id BIGINT, obj_num INT, obj_gen INT, kind STRING, off INT, idx BIGINT, zero_offset_as_free STRING, note STRING, _corrupt STRING"
+_TEXT = ", ".join(f"{f} STRING" for f in FIELDS)
+COLUMNS = 512
 _OPTIONS = {
-    "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt", "sep": ",", "quote": '"', "escape": '"',
-    "multiLine": "true", "maxCharsPerColumn": "-1", "maxColumns": "20480", "emptyValue": "",
-}
+    "mode": "PERMISSIVE", "sep": ",", "quote": '"', "escape": '"', "multiLine": "true", "maxCharsPerColumn": "-1",
+    "maxColumns": str(COLUMNS), "emptyValue": "",
+}
 MAX_INT, MAX_GEN = 2147483647, 65535
+# A text of other characters goes to the second check: quotes, line breaks, and signs and digits that the reader takes but the format doesn't know.
+_PLAIN = r"\A[ !#-*,.-~]*\z"
 
 REASONS = (
     "missing", "quoting", "field_count", "file_id", "obj_num", "obj_gen", "kind", "off", "idx",
@@ -54,9 +61,13 @@ def _digits(c: Column) -> Column:
 
 
 def _number(c: Column) -> Column:
-    """Decimal value of a digit string; null when it exceeds 18 digits."""
-    bare = F.regexp_replace(c, r"\A0+(?=[0-9])", "")
-    return F.when(_digits(c) & (F.length(bare) <= 18), bare.cast("bigint"))
+    """Decimal value of a digit string; null when it exceeds 64 bits."""
+    return F.when(_digits(c), c.try_cast("bigint"))
+
+
+def _once(df: DataFrame, struct: Column, prefix: str, names: tuple[str, ...]) -> DataFrame:
+    """``df`` plus the fields of a struct, worked out once a row: nothing is moved through a generator or repeated behind it."""
+    return df.select("*", F.inline(F.array(struct)).alias(*[prefix + n for n in names]))
 
 
 def classify(lines: DataFrame, text: str = "raw_line") -> DataFrame:
@@ -65,13 +76,30 @@ def classify(lines: DataFrame, text: str = "raw_line") -> DataFrame:
     ``reason`` is null for a valid record, else the first failed check of
     ``REASONS``.  Edge cases: null or empty text is ``missing``; blanks are
     data, so a line of blanks fails ``field_count``; extra columns are kept as
-    they are; equal rows stay equal rows; a ``file_id`` beyond 18 digits is
-    valid and kept as text in ``file_id_text`` with ``file_id`` null.
+    they are; equal rows stay equal rows; a ``file_id`` beyond 64 bits is
+    valid and kept as text in ``file_id_text`` with ``file_id`` null, as is an
+    ``idx`` beyond 64 bits with ``idx`` null.  A record of any number of
+    fields, length or quotes gets a reason: the reader, which fails on more
+    than ``COLUMNS`` fields, isn't asked about a text with so many commas
+    unless it is known to have the right number of fields.
     """
     raw = F.col(text)
     ok, count = quoting(raw)
-    df = lines.withColumn("_csv", F.from_csv(raw, _READ, _OPTIONS)).withColumn("_ok", ok).withColumn("_n", count)
-    f = {name: F.coalesce(F.col(f"_csv.{name}"), F.lit("")) for name in FIELDS}
+    safe = F.when(_commas(raw) < COLUMNS, True).otherwise(ok & (count == len(FIELDS)))
+    typed = F.from_csv(raw, _TYPED, _OPTIONS | {"columnNameOfCorruptRecord": "_corrupt"})
+    df = _once(lines, F.when(safe, typed), "_t_", (*FIELDS, "_corrupt"))
+    t = {name: F.col(f"_t_{name}") for name in FIELDS}
+    taken = raw.isNotNull() & (raw != "") & raw.rlike(_PLAIN) & F.col("_t__corrupt").isNull()
+    sound = (
+        t["file_id"].isNotNull() & t["obj_num"].isNotNull() & t["obj_gen"].isNotNull() & (t["obj_gen"] <= MAX_GEN) & t["off"].isNotNull()
+        & t["kind"].isin("free", "inuse", "compressed") & ((t["kind"] == "compressed") == t["idx"].isNotNull())
+        & t["zero_offset_as_free"].isin("true", "false") & ((t["kind"] != "inuse") | (t["off"] != 0) | (t["zero_offset_as_free"] == "true"))
+    )
+    df = _once(df, F.struct(F.coalesce(taken & sound, F.lit(False)).alias("good")), "_", ("good",))
+    # What is left is told apart by one check after the other; well-formed records of the right length are read again as text.
+    df = _once(df, F.when(~F.col("_good"), F.struct(ok.alias("ok"), count.alias("n"))), "_", ("ok", "n"))
+    df = _once(df, F.when(F.col("_ok") & (F.col("_n") == len(FIELDS)), F.from_csv(raw, _TEXT, _OPTIONS)), "_x_", FIELDS)
+    f = {name: F.coalesce(F.col(f"_x_{name}"), F.lit("")) for name in FIELDS}
     num, gen, off = _number(f["obj_num"]), _number(f["obj_gen"]), _number(f["off"])
     within = lambda v, most: F.coalesce(v <= most, F.lit(False))
     checks: list[tuple[str, Column]] = [
@@ -90,17 +118,21 @@ def classify(lines: DataFrame, text: str = "raw_line") -> DataFrame:
     reason = F.lit(None).cast("string")
     for name, failed in reversed(checks):
         reason = F.when(failed, F.lit(name)).otherwise(reason)
-    entry = F.struct(
-        _number(f["file_id"]).alias("file_id"), f["file_id"].alias("file_id_text"), num.cast("int").alias("obj_num"),
-        gen.cast("int").alias("obj_gen"), f["kind"].alias("kind"), off.alias("off"),
+    again = F.struct(
+        _number(f["file_id"]).alias("file_id"), f["file_id"].alias("file_id_text"), num.try_cast("int").alias("obj_num"),
+        gen.try_cast("int").alias("obj_gen"), f["kind"].alias("kind"), off.alias("off"),
         F.when(f["kind"] == "compressed", _number(f["idx"])).alias("idx"),
         (f["zero_offset_as_free"] == "true").alias("zero_offset_as_free"), f["note"].alias("note"),
-    )
-    return (
-        df.withColumn("reason", reason)
-        .withColumn("entry", F.when(F.col("reason").isNull(), entry))
-        .drop("_csv", "_ok", "_n")
-    )
+    )
+    first = F.struct(
+        t["file_id"].alias("file_id"), F.substring_index(raw, ",", 1).alias("file_id_text"), t["obj_num"].alias("obj_num"), t["obj_gen"].alias("obj_gen"),
+        t["kind"].alias("kind"), t["off"].cast("bigint").alias("off"), t["idx"].alias("idx"),
+        (t["zero_offset_as_free"] == "true").alias("zero_offset_as_free"), F.coalesce(t["note"], F.lit("")).alias("note"),
+    )
+    held = [F.col(f"`{c}`") for c in lines.columns if c not in ("reason", "entry")]
+    told = _once(df, F.struct(F.when(~F.col("_good"), reason).alias("reason")), "_", ("reason",))
+    entry = F.when(F.col("_good"), first).when(F.col("_reason").isNull(), again)
+    return told.select(*held, F.col("_reason").alias("reason"), entry.alias("entry"))
 
 
 def valid(lines: DataFrame, text: str = "raw_line", key: str = "line_id") -> DataFrame:

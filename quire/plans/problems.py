@@ -155,6 +155,14 @@ e AS (SELECT t.file_id, t.n, t.g, p.n AS pn, p.g AS pg FROM t LEFT JOIN t p ON p
 
 SQL = {
     "p2_found": f"WITH {_LINES.strip()} SELECT DISTINCT line_id FROM xref_lines WHERE line_id NOT IN (SELECT line_id FROM ok)",
+    "p2_rejected": """WITH l AS (SELECT line_id, raw_line, regexp_full_match(raw_line, '(?s)("(?:[^"]|"")*"|[^",\\r\\n]*)(,("(?:[^"]|"")*"|[^",\\r\\n]*))*') AS ok,
+          list_transform(regexp_extract_all(',' || raw_line, '(?s),("(?:[^"]|"")*"|[^",\\r\\n]*)', 1), lambda x: CASE WHEN x LIKE '"%' THEN replace(substr(x, 2, length(x) - 2), '""', '"') ELSE x END) AS f FROM xref_lines),
+        d AS (SELECT *, list_transform(f, lambda x: CASE WHEN regexp_full_match(x, '[0-9]+') THEN TRY_CAST(x AS HUGEINT) END) AS n FROM l),
+        r AS (SELECT line_id, raw_line, CASE WHEN coalesce(raw_line, '') = '' THEN 'missing' WHEN NOT ok THEN 'quoting' WHEN len(f) <> 8 THEN 'field_count' WHEN NOT regexp_full_match(f[1], '[0-9]+') THEN 'file_id'
+          WHEN NOT coalesce(n[2] <= 2147483647, false) THEN 'obj_num' WHEN NOT coalesce(n[3] <= 65535, false) THEN 'obj_gen' WHEN f[4] NOT IN ('free', 'inuse', 'compressed') THEN 'kind'
+          WHEN NOT coalesce(n[5] <= 2147483647, false) THEN 'off' WHEN f[4] = 'compressed' AND NOT regexp_full_match(f[6], '[0-9]+') OR f[4] <> 'compressed' AND f[6] <> '' THEN 'idx'
+          WHEN f[7] NOT IN ('true', 'false') THEN 'zero_offset_as_free' WHEN f[4] = 'inuse' AND n[5] = 0 AND f[7] <> 'true' THEN 'zero_offset' END AS reason FROM d)
+        SELECT line_id, raw_line, reason FROM r WHERE reason IS NOT NULL""",
     "p2_valid": f"""WITH {_LINES.strip()} SELECT line_id, file_id, CAST(obj_num AS INTEGER) AS obj_num, CAST(obj_gen AS INTEGER) AS obj_gen, kind,
         CAST(off AS BIGINT) AS off, TRY_CAST(idx AS BIGINT) AS idx, zero = 'true' AS zero_offset_as_free,
         CASE WHEN note LIKE '"%' THEN replace(substr(note, 2, length(note) - 2), '""', '"') ELSE note END AS note FROM ok""",

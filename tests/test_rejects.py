@@ -100,3 +100,25 @@ def test_any_line(spark, lines):
     df = spark.createDataFrame(list(enumerate(lines)), SCHEMA)
     bad = {r.line_id for r in rejects.rejected(df).select("line_id").collect()}
     assert bad == {i for i, s in enumerate(lines) if not valid(s)}
+
+
+def test_no_line_fails_the_job(spark, tmp_path):
+    many = "," * 25_000
+    lines = [
+        GOOD, many, GOOD + many, '1,2,0,inuse,15,,true,"' + many + '"', '1,"2' + many, '1,2,0,inuse,15,,true,"x"' + many, '1,2,0,inuse,15,,true,"x"y' + many,
+        "1,2,0,inuse,15,,true," + "z" * 10_000_000, '1,2,0,inuse,15,,true,"' + "z" * 10_000_000, "," * 511, "," * 512, '"' * 30_001, "1,2,0,inuse,15,,true\n,x" + many,
+    ]
+    df = spark.createDataFrame(list(enumerate(lines)), SCHEMA)
+    want = {i: None if valid(s) else "field_count" if fields(s) else "quoting" for i, s in enumerate(lines)}
+    assert {r.line_id: r.reason for r in rejects.classify(df).select("line_id", "reason").collect()} == want
+    assert {r.line_id for r in rejects.rejected(df).select("line_id", "raw_line").collect()} == {i for i, w in want.items() if w}
+    assert {(r.line_id, len(r.note)) for r in rejects.valid(df).collect()} == {(0, 4), (3, 25_000), (7, 10_000_000)}
+    rejects.load(df, str(tmp_path / "out"))
+    assert spark.read.parquet(str(tmp_path / "out")).where("reason is not null").count() == len(lines) - 3
+
+
+def test_the_reader_is_no_more_lenient_than_the_format(spark):
+    lines = ["1,-2,0,inuse,5,,true,x", "1,2,+0,inuse,5,,true,x", "1,2,0,inuse,5,,True,x", "1,2,0,compressed,5,\u0663,true,x", "1,2,0,compressed,5,-3,true,x", "1,,0,inuse,5,,true,x", "1,2,0,free,5,7,true,x"]
+    df = spark.createDataFrame(list(enumerate(lines)), SCHEMA)
+    got = {r.line_id: r.reason for r in rejects.classify(df).collect()}
+    assert got == dict(enumerate(["obj_num", "obj_gen", "zero_offset_as_free", "idx", "idx", "obj_num", "idx"]))
