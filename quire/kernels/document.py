@@ -18,7 +18,7 @@ FREE, INUSE, COMPRESSED = "free", "inuse", "compressed"
 STRUCTURE = "structure"
 _EOL = rb"(?:\r\n|\r|\n)"
 _HEADER = re.compile(rb"%PDF-([0-9])\.([0-9])" + _EOL)
-_TAIL = re.compile(rb"(?:^|(?<=[\r\n]))startxref *" + _EOL + rb"([0-9]+) *" + _EOL + rb"(?:[\r\n]*)%%EOF[\r\n]*\Z")
+_TAIL = re.compile(rb"(?:^|(?<=[\r\n]))startxref *" + _EOL + rb"([0-9]+) *" + _EOL + rb"[\r\n]*+%%EOF[\r\n]*+\Z")
 _SECTION = re.compile(rb"[ \r\n]*([0-9]+) ([0-9]+) *" + _EOL)
 _ENTRY = re.compile(rb"([0-9]{10}) ([0-9]{5}) ([nf])(?: [\r\n]|\r\n)")
 _STREAM_EOL = re.compile(rb"\r\n|\n|\r")
@@ -98,7 +98,8 @@ class Loader:
             raise PdfError("Syntax error", Place(offset=0))
 
     def structure(self) -> None:
-        m = _TAIL.search(self.data, max(0, len(self.data) - 2048))
+        last = self.data.rfind(b"startxref")  # nothing but line ends may follow the end mark, however many
+        m = _TAIL.match(self.data, last) if last >= 0 else None
         if not m:
             raise PdfError("No startxref found")
         self.doc.extents.append((m.start(), len(self.data) - 1, TRAILER))

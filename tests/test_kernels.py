@@ -294,6 +294,13 @@ def test_reading_less():
     assert "undeclared" in str(D.load(raw, only=Ref(50, 0)).errors[0]) and "free object" in str(D.load(raw, only=Ref(0, 65535)).errors[0])
 
 
+@pytest.mark.parametrize("tail", [b"", b"\n" * 3000, b"\r\n" * 500_000])
+def test_any_number_of_line_ends_behind_the_end_mark(tail):
+    doc = D.load(fixtures.hello_file("startxref") + tail)
+    assert doc.complete and len(doc.objects) == 6
+    assert "No startxref found" in str(D.load(fixtures.hello_file("x") + tail + b" ").errors[0])
+
+
 def test_command_line(tmp_path, capsys):
     from quire.cli import main
 
