@@ -42,11 +42,16 @@ def first_paths(refs: DataFrame) -> DataFrame:
 
 
 def undefined(refs: DataFrame, objects: DataFrame) -> DataFrame:
-    """Edges to objects that aren't there; targets are aggregated before the anti-join."""
-    targets = edges(refs)
-    have = vertices(objects).withColumnsRenamed({"obj_num": "ref_num", "obj_gen": "ref_gen"})
-    missing = targets.groupBy("file_id", *DST).agg(F.count("*").alias("n")).join(have, ["file_id", *DST], "left_anti")
-    return unique_lookup(targets, missing.select("file_id", *DST), ["file_id", *DST], heavy_keys(missing, ["file_id", *DST]))
+    """Edges to objects that aren't there; targets are aggregated before the join with the objects.
+
+    Heavy is a target that many references name, whether it is there or not.
+    """
+    key = ["file_id", *DST]
+    refs = refs.select("file_id", *SRC, *DST).na.drop()
+    have = vertices(objects).withColumnsRenamed({"obj_num": "ref_num", "obj_gen": "ref_gen"}).withColumn("_there", F.lit(True))
+    counts = refs.groupBy(*key).agg(F.count("*").alias("n")).join(have, key, "left")
+    counts = Scratch(refs.sparkSession, "undefined").cut(counts.select(*key, "n", F.col("_there").isNull().alias("missing")))
+    return unique_lookup(refs, counts.where("missing").select(*key), key, heavy_keys(counts, key)).select("file_id", *SRC, *DST).distinct()
 
 
 def _local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -78,11 +78,10 @@ def orphans(object_refs: DataFrame, streams: DataFrame, objects: DataFrame, xref
     targets = salted_filter(targets, lenient, "file_id", F.col("obj_num"), "left_anti")
     free = xref_entries.where("seq = 0 and kind = 'free'").select(*KEY).na.drop().distinct().withColumn("freed", F.lit(True))
     found = match(targets, runs(objects.select(*KEY, "loaded_at"))).join(free, KEY, "left")
-    suspect = found.where(F.col("freed") | F.col("first").isNull() | (F.col("first") > F.col("earliest")) | (F.col("untimed") > 0))
-    # Written once: the match would otherwise run again for each use below.
-    suspect = Scratch(refs.sparkSession, "orphans").cut(suspect.select(*KEY, "n", "first", "freed"))
-    heavy = heavy_keys(suspect, KEY)
-    rows = unique_lookup(refs, suspect.select(*KEY, "first", "freed"), KEY, heavy)
+    suspect = F.coalesce(F.col("freed") | F.col("first").isNull() | (F.col("first") > F.col("earliest")) | (F.col("untimed") > 0), F.lit(False))
+    # Written once: the match would otherwise run again for each use below.  Heavy is what many references name, sound or not.
+    found = Scratch(refs.sparkSession, "orphans").cut(found.select(*KEY, "n", "first", "freed", suspect.alias("suspect")))
+    rows = unique_lookup(refs, found.where("suspect").select(*KEY, "first", "freed"), KEY, heavy_keys(found, KEY))
     reason = (
         F.when(F.col("freed"), "freed").when(F.col("first").isNull(), "undefined")
         .when(F.col("seen_at").isNull() | (F.col("first") > F.col("seen_at")), "late")
