@@ -27,7 +27,9 @@ def decompose(up: np.ndarray, rank: np.ndarray) -> dict[str, np.ndarray]:
 
     cyclic: the row lies on a cycle or below one (its other values are -1).
     size: rows in its subtree; head: row at the head of its chain; pos: place
-    in the chain; root and depth, found by climbing from chain to chain.
+    in the chain; root and depth, found by climbing from chain to chain; pre:
+    number of the row in its tree, parents first, then the child on the chain,
+    then the others by ``rank``, so the rows below one are the ``size`` - 1 next.
     """
     n = len(up)
     # Cycle separation by pointer doubling: n is the place above every root.
@@ -70,6 +72,15 @@ def decompose(up: np.ndarray, rank: np.ndarray) -> dict[str, np.ndarray]:
         base[more] += pos[above[more]] + 1
         root[more] = head[above[more]]
     depth = base + pos
-    for x in (size, head, pos, root, depth):
+
+    pre = np.zeros(n, np.int64)
+    kids = kids[np.lexsort((rank[kids], ~heavy[kids], up[kids]))]
+    before = np.append(0, np.cumsum(size[kids])[:-1])
+    firsts = np.searchsorted(up[kids], up[kids])
+    off = np.zeros(n, np.int64)
+    off[kids] = 1 + before - before[firsts]
+    for rows in levels[1:]:
+        pre[rows] = pre[up[rows]] + off[rows]
+    for x in (size, head, pos, root, depth, pre):
         x[cyclic] = NONE
-    return {"cyclic": cyclic, "size": size, "head": head, "pos": pos, "root": root, "depth": depth}
+    return {"cyclic": cyclic, "size": size, "head": head, "pos": pos, "root": root, "depth": depth, "pre": pre}

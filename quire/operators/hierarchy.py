@@ -2,8 +2,8 @@
 
 Nodes on or below a cycle are set apart first.  Every other node lies on one
 chain: the chain goes on into the child with the largest subtree.  A node's
-path is the concatenation of at most log2(n) chain segments, and its
-descendants are the nodes whose segments reach it on its chain.
+path is the concatenation of at most log2(n) chain segments.  Numbered chain by
+chain, a node's descendants are one interval of numbers.
 
 Groups (files) of at most ``local_max`` links are decomposed many at a time
 inside one task by a numpy kernel, after a single shuffle.  Larger groups never
@@ -20,13 +20,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from quire.kernels import forest
-from quire.operators.skew import heavy_keys, salted_filter, unique_lookup
+from quire.operators import blocks
+from quire.operators.skew import heavy_keys, salted_filter, spread_join, unique_lookup
 from quire.session import Scratch
 
 LOCAL_MAX = 100_000
 CHUNK = 200_000
 ID = ["grp", "node"]
-_FIELDS = ("grp", "node", "up", "root", "depth", "size", "chain", "pos", "up_chain", "up_pos")
+_FIELDS = ("grp", "node", "up", "root", "depth", "size", "chain", "pos", "up_chain", "up_pos", "pre")
 _SCHEMA = ", ".join(f"{c} BIGINT" for c in _FIELDS)
 _ARROW = pa.schema([(c, pa.int64()) for c in _FIELDS])
 
@@ -101,6 +102,7 @@ def _chunk(t: pa.Table) -> pa.RecordBatch:
         [
             pa.array(grp), pa.array(node), of(up, node, up != forest.NONE), of(d["root"], node, ok), of(every, d["depth"], ok),
             of(every, d["size"], ok), of(d["head"], node, ok), of(every, d["pos"], ok), of(up_chain, node, has_above), of(above, d["pos"], has_above),
+            of(every, d["pre"], ok),
         ],
         schema=_ARROW,
     )
@@ -114,20 +116,28 @@ def _lookup(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     return unique_lookup(left, right, ["grp", key], heavy_keys(counts, ["grp", key]))
 
 
-def climb(df: DataFrame, scratch: Scratch) -> DataFrame:
-    """(grp, id, ptr, w) to (grp, id, top, dist): the end of each acyclic pointer path and the sum of w to it.
+def _spread(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """``_lookup`` where the rows of ``right`` are of any width or number."""
+    counts = left.groupBy("grp", key).agg(F.count("*").alias("n"))
+    return spread_join(left, right, ["grp", key], heavy_keys(counts, ["grp", key]))
+
+
+def climb(df: DataFrame, scratch: Scratch, weights: tuple[str, ...] = ("w",)) -> DataFrame:
+    """(grp, id, ptr, weights) to (grp, id, top, weights): the end of each acyclic pointer path and the sum of each weight to it.
 
     Pointer doubling; a null pointer ends a path.  O(log length) rounds.
     """
-    state = scratch.cut(df.select("grp", "id", F.col("ptr"), F.when(F.col("ptr").isNull(), F.col("id")).alias("top"), F.when(F.col("ptr").isNull(), F.lit(0)).otherwise(F.col("w")).cast("bigint").alias("dist")))
+    start = [F.when(F.col("ptr").isNull(), F.lit(0)).otherwise(F.col(w)).cast("bigint").alias(w) for w in weights]
+    state = scratch.cut(df.select("grp", "id", F.col("ptr"), F.when(F.col("ptr").isNull(), F.col("id")).alias("top"), *start))
     while not state.where("ptr is not null").isEmpty():
-        target = state.select("grp", F.col("id").alias("ptr"), F.col("ptr").alias("_ptr"), F.col("top").alias("_top"), F.col("dist").alias("_dist"))
-        moved = _lookup(state.where("ptr is not null").drop("top"), target, "ptr").select("grp", "id", F.col("_ptr").alias("ptr"), F.col("_top").alias("top"), (F.col("dist") + F.col("_dist")).alias("dist"))
+        target = state.select("grp", F.col("id").alias("ptr"), F.col("ptr").alias("_ptr"), F.col("top").alias("_top"), *[F.col(w).alias(f"_{w}") for w in weights])
+        sums = [(F.col(w) + F.col(f"_{w}")).alias(w) for w in weights]
+        moved = _lookup(state.where("ptr is not null").drop("top"), target, "ptr").select("grp", "id", F.col("_ptr").alias("ptr"), F.col("_top").alias("top"), *sums)
         done = state.where("ptr is null")
         new = scratch.cut(done.unionByName(moved))
         scratch.drop(state)
         state = new
-    return state.select("grp", "id", "top", "dist")
+    return state.select("grp", "id", "top", *weights)
 
 
 def _sizes(nodes: DataFrame, scratch: Scratch) -> DataFrame:
@@ -156,18 +166,25 @@ def _distributed(nodes: DataFrame, scratch: Scratch) -> DataFrame:
     with_up = scratch.cut(nodes.where("parent is null").select(*ID, F.lit(None).cast("bigint").alias("up")).unionByName(_up(nodes.where("parent is not null"), own)))
     tree = scratch.cut(_sizes(with_up, scratch))
     # A chain goes on into the child with the largest subtree, of equals the smallest key.
-    heavy = tree.where("up is not null").groupBy("grp", "up").agg(F.max(F.struct(F.col("size"), -F.col("node"))).alias("_m"))
-    heavy = heavy.select("grp", (-F.col("_m.col2")).alias("node"), F.lit(True).alias("_heavy"))
+    heavy = tree.where("up is not null").groupBy("grp", "up").agg(F.max(F.struct(F.col("size"), (-F.col("node")).alias("neg"))).alias("_m"))
+    heavy = heavy.select("grp", (-F.col("_m.neg")).alias("node"), F.col("up").alias("_above"), F.col("_m.size").alias("_heaviest"))
     flagged = scratch.cut(tree.join(heavy, ID, "left"))
-    chains = climb(flagged.select("grp", F.col("node").alias("id"), F.when(F.col("_heavy"), F.col("up")).alias("ptr"), F.lit(1).alias("w")), scratch)
-    placed = scratch.cut(flagged.join(chains.select("grp", F.col("id").alias("node"), F.col("top").alias("chain"), F.col("dist").alias("pos")), ID))
+    on = F.col("_above").isNotNull()
+    chains = climb(flagged.select("grp", F.col("node").alias("id"), F.when(on, F.col("up")).alias("ptr"), F.lit(1).alias("w")), scratch)
+    placed = scratch.cut(flagged.join(chains.select("grp", F.col("id").alias("node"), F.col("top").alias("chain"), F.col("w").alias("pos")), ID))
+    # The light children of a node are numbered behind the heavy one, in key order.
+    light = blocks.running(placed.where(~on & F.col("up").isNotNull()).select(*ID, "up", "size"), ["grp", "up"], ["node"], F.shiftright("node", 44), F.col("size"), "_run")
+    behind = flagged.where(on).select("grp", F.col("_above").alias("up"), "_heaviest")
+    offs = scratch.cut(_lookup(light, behind, "up").select("grp", F.col("node").alias("chain"), (F.col("_run") - F.col("size") + F.col("_heaviest") + 1).alias("off")))
     heads = placed.where("node = chain")
     roots = heads.where("up is null").select("grp", "chain", F.lit(None).cast("bigint").alias("up_chain"), F.lit(None).cast("bigint").alias("up_pos"))
     hung = _lookup(heads.where("up is not null").select("grp", "chain", "up"), placed.select("grp", F.col("node").alias("up"), F.col("chain").alias("up_chain"), F.col("pos").alias("up_pos")), "up").drop("up")
-    ups = scratch.cut(roots.unionByName(hung.select(roots.columns)))
-    tops = climb(ups.select("grp", F.col("chain").alias("id"), F.col("up_chain").alias("ptr"), (F.coalesce("up_pos", F.lit(0)) + 1).alias("w")), scratch)
-    ups = scratch.cut(ups.join(tops.select("grp", F.col("id").alias("chain"), F.col("top").alias("root"), F.col("dist").alias("base")), ["grp", "chain"]))
-    done = _lookup(placed.select(*ID, "up", "size", "chain", "pos"), ups, "chain").withColumn("depth", F.col("base") + F.col("pos")).select(*_FIELDS)
+    ups = scratch.cut(roots.unionByName(hung.select(roots.columns)).join(offs, ["grp", "chain"], "left"))
+    at = F.coalesce("up_pos", F.lit(0))
+    tops = climb(ups.select("grp", F.col("chain").alias("id"), F.col("up_chain").alias("ptr"), (at + 1).alias("base"), (at + F.coalesce("off", F.lit(0))).alias("first")), scratch, ("base", "first"))
+    ups = scratch.cut(ups.drop("off").join(tops.select("grp", F.col("id").alias("chain"), F.col("top").alias("root"), "base", "first"), ["grp", "chain"]))
+    done = _lookup(placed.select(*ID, "up", "size", "chain", "pos"), ups, "chain")
+    done = done.withColumn("depth", F.col("base") + F.col("pos")).withColumn("pre", F.col("first") + F.col("pos")).select(*_FIELDS)
     # Nodes that aren't in the tree lie on or below a cycle.
     rest = with_up.join(tree.select(*ID), ID, "left_anti")
     none = [F.lit(None).cast("bigint").alias(c) for c in _FIELDS[3:]]
@@ -186,8 +203,11 @@ def decompose(nodes: DataFrame, local_max: int = LOCAL_MAX) -> DataFrame:
 
     Columns: up (the parent, where it has a row of its own), root, depth, size
     (nodes of the subtree, itself included), chain (its head), pos, and up_chain
-    and up_pos: the place where the chain hangs on another.  Nodes on or below
-    a cycle have null root, depth, size and chain.  Empty input gives no rows.
+    and up_pos: the place where the chain hangs on another, pre: the number of
+    the node in its tree.  A node's descendants are those of its tree whose
+    ``pre`` is one of the ``size`` - 1 next: an interval, however many there
+    are.  Nodes on or below a cycle have null root, depth, size, chain and pre.
+    Empty input gives no rows.
     """
     spark = nodes.sparkSession
     scratch = Scratch(spark, "forest")
@@ -236,22 +256,23 @@ def paths(h: DataFrame) -> DataFrame:
     waiting = members.where("up_chain is not null")
     while not level.isEmpty():
         above = level.select("grp", F.col("chain").alias("up_chain"), F.col("nodes").alias("_n"), F.col("prefix").alias("_p"))
-        level = scratch.cut(_lookup(waiting, above, "up_chain").select("grp", "chain", "nodes", F.concat("_p", F.slice("_n", F.lit(1), (F.col("up_pos") + 1).cast("int"))).alias("prefix")))
+        level = scratch.cut(_spread(waiting, above, "up_chain").select("grp", "chain", "nodes", F.concat("_p", F.slice("_n", F.lit(1), (F.col("up_pos") + 1).cast("int"))).alias("prefix")))
         done = done.unionByName(level)
-    with_path = _lookup(tree, done, "chain").withColumn("path", F.concat("prefix", F.slice("nodes", F.lit(1), (F.col("pos") + 1).cast("int"))))
+    with_path = _spread(tree, done, "chain").withColumn("path", F.concat("prefix", F.slice("nodes", F.lit(1), (F.col("pos") + 1).cast("int"))))
     cyclic = h.where("chain is null").withColumn("path", F.lit(None).cast("array<bigint>"))
     return with_path.select(*_FIELDS, "path").unionByName(cyclic.select(*_FIELDS, "path"))
 
 
 def descendants(h: DataFrame) -> DataFrame:
-    """(grp, node, descendant): a node's descendants by chain intervals, itself not included.
+    """(grp, node, descendant): a node's descendants one by one, by chain intervals, itself not included.
 
-    The output has a row for each ancestor of each node, which is what is asked
-    for; ``size`` - 1 counts them without it.
+    The output has a row for each ancestor of each node; where the interval of
+    ``pre`` and ``size`` will do, there is no need for it.
     """
     segs = segments(h)
     tree = h.where("chain is not null")
     own = tree.select("grp", F.col("node").alias("descendant"), "chain", F.col("chain").alias("seg_chain"), (F.col("pos") - 1).alias("seg_upto"))
     above = tree.select("grp", F.col("node").alias("descendant"), "chain").join(segs, ["grp", "chain"]).select("grp", "descendant", "seg_chain", "seg_upto")
     at = tree.select("grp", "node", F.col("chain").alias("seg_chain"), "pos")
-    return own.select("grp", "descendant", "seg_chain", "seg_upto").unionByName(above).join(at, ["grp", "seg_chain"]).where("pos <= seg_upto").select("grp", "node", "descendant")
+    segs = own.select("grp", "descendant", "seg_chain", "seg_upto").unionByName(above)
+    return _spread(segs, at, "seg_chain").where("pos <= seg_upto").select("grp", "node", "descendant")

@@ -103,10 +103,12 @@ def p5_paths(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_descendants(spark: SparkSession, d: str) -> DataFrame:
-    h = hierarchy.descendants(_forest(spark, d))
+    """All descendants of each node as an interval: those of its tree whose ``number`` lies between first and last, none if last < first."""
+    h = _forest(spark, d).where("root is not null")
     return h.select(
         F.col("grp").alias("file_id"), hierarchy.number("node").alias("obj_num"), hierarchy.generation("node").alias("obj_gen"),
-        hierarchy.number("descendant").alias("desc_num"), hierarchy.generation("descendant").alias("desc_gen"),
+        hierarchy.number("root").alias("root_num"), hierarchy.generation("root").alias("root_gen"), F.col("pre").alias("number"),
+        (F.col("pre") + 1).alias("first"), (F.col("pre") + F.col("size") - 1).alias("last"),
     )
 
 
@@ -183,9 +185,12 @@ SQL = {
         SELECT e.file_id, CAST(e.n AS INTEGER) AS obj_num, CAST(e.g AS INTEGER) AS obj_gen, d.depth, CAST(s.k AS BIGINT) AS n_descendants, d.path
         FROM e LEFT JOIN d ON d.file_id = e.file_id AND d.n = e.n AND d.g = e.g LEFT JOIN s ON s.file_id = e.file_id AND s.n = e.n AND s.g = e.g""",
     "p5_descendants": f"""WITH RECURSIVE {_TREE.strip()},
-        good AS (SELECT file_id, n, g FROM e WHERE pn IS NULL UNION ALL
-              SELECT e.file_id, e.n, e.g FROM good d JOIN e ON e.file_id = d.file_id AND e.pn = d.n AND e.pg = d.g),
-        w AS (SELECT e.file_id, e.pn AS n, e.pg AS g, e.n AS dn, e.g AS dg FROM e JOIN good USING (file_id, n, g) WHERE e.pn IS NOT NULL UNION ALL
-              SELECT w.file_id, e.pn, e.pg, w.dn, w.dg FROM w JOIN e ON e.file_id = w.file_id AND e.n = w.n AND e.g = w.g WHERE e.pn IS NOT NULL)
-        SELECT file_id, CAST(n AS INTEGER) AS obj_num, CAST(g AS INTEGER) AS obj_gen, CAST(dn AS INTEGER) AS desc_num, CAST(dg AS INTEGER) AS desc_gen FROM w""",
+        d AS (SELECT file_id, n, g, n AS rn, g AS rg, n || '_' || g AS path FROM e WHERE pn IS NULL UNION ALL
+              SELECT e.file_id, e.n, e.g, d.rn, d.rg, d.path || '/' || e.n || '_' || e.g FROM d JOIN e ON e.file_id = d.file_id AND e.pn = d.n AND e.pg = d.g),
+        s AS (SELECT a.file_id, a.n, a.g, count(*) AS k FROM d a JOIN d b ON b.file_id = a.file_id AND (b.path = a.path OR starts_with(b.path, a.path || '/')) GROUP BY ALL),
+        c AS (SELECT e.*, s.k, row_number() OVER (PARTITION BY file_id, pn, pg ORDER BY s.k DESC, n, g) AS rk FROM e JOIN s USING (file_id, n, g)),
+        o AS (SELECT file_id, n, g, k, n AS rn, g AS rg, [[0, n, g]] AS way FROM c WHERE pn IS NULL UNION ALL
+              SELECT c.file_id, c.n, c.g, c.k, o.rn, o.rg, list_append(o.way, [CASE c.rk WHEN 1 THEN 0 ELSE 1 END, c.n, c.g]) FROM o JOIN c ON c.file_id = o.file_id AND c.pn = o.n AND c.pg = o.g),
+        p AS (SELECT *, row_number() OVER (PARTITION BY file_id, rn, rg ORDER BY way) - 1 AS number FROM o)
+        SELECT file_id, CAST(n AS INTEGER) AS obj_num, CAST(g AS INTEGER) AS obj_gen, CAST(rn AS INTEGER) AS root_num, CAST(rg AS INTEGER) AS root_gen, number, number + 1 AS first, number + k - 1 AS last FROM p""",
 }

@@ -72,3 +72,35 @@ def test_links_reads_every_form(spark):
     assert got == {code(5): None, code(6, 2): code(5), code(8, 1): code(5), code(9): None, code(10): code(10)}
     assert hierarchy.links(df.limit(0)).count() == 0
     assert hierarchy.decompose(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+@pytest.mark.parametrize("seed,local_max", [(3, 100_000), (3, 20), (5, 0)])
+def test_numbers_are_intervals_of_descendants(spark, seed, local_max):
+    rows = forest(seed)
+    path, _ = brute(rows)
+    got = {(r.grp, r.node): r for r in hierarchy.decompose(spark.createDataFrame(rows, SCHEMA), local_max).collect()}
+    for (g, n), p in path.items():
+        r = got[g, n]
+        if p is None:
+            assert r.pre is None
+            continue
+        below = {m for (h, m), q in path.items() if h == g and q and n in q[:-1]}
+        assert below == {m for (h, m), o in got.items() if h == g and o.root == r.root and o.pre is not None and r.pre < o.pre < r.pre + r["size"]}
+    assert len({(g, r.root, r.pre) for (g, _), r in got.items() if r.pre is not None}) == sum(p is not None for p in path.values())
+
+
+def test_both_ways_agree(spark):
+    df = spark.createDataFrame(forest(11), SCHEMA)
+    a, b = (sorted(map(tuple, hierarchy.decompose(df, m).collect())) for m in (100_000, 0))
+    assert [tuple(-1 if x is None else x for x in r) for r in a] == [tuple(-1 if x is None else x for x in r) for r in b]
+
+
+def test_hot_chain_and_hot_parent_without_broadcast(spark):
+    rows = [(1, v, v - 1 if v else None) for v in range(300)] + [(1, 1000 + v, 150) for v in range(300)] + [(2, v, None) for v in range(50)]
+    path, size = brute(rows)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = {(r.grp, r.node): (r.path, r.size) for r in hierarchy.paths(hierarchy.decompose(spark.createDataFrame(rows, SCHEMA), 100)).collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got == {k: (p, size[k]) for k, p in path.items()}
