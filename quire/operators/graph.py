@@ -50,7 +50,7 @@ def undefined(refs: DataFrame, objects: DataFrame) -> DataFrame:
     refs = refs.select("file_id", *SRC, *DST).na.drop()
     have = vertices(objects).withColumnsRenamed({"obj_num": "ref_num", "obj_gen": "ref_gen"}).withColumn("_there", F.lit(True))
     counts = refs.groupBy(*key).agg(F.count("*").alias("n")).join(have, key, "left")
-    counts = Scratch(refs.sparkSession, "undefined").cut(counts.select(*key, "n", F.col("_there").isNull().alias("missing")))
+    counts = Scratch(refs.sparkSession, "undefined").cut(counts.select(*key, "n", F.col("_there").isNull().alias("missing")), by="missing")
     return unique_lookup(refs, counts.where("missing").select(*key), key, heavy_keys(counts, key)).select("file_id", *SRC, *DST).distinct()
 
 

@@ -80,7 +80,7 @@ def orphans(object_refs: DataFrame, streams: DataFrame, objects: DataFrame, xref
     found = match(targets, runs(objects.select(*KEY, "loaded_at"))).join(free, KEY, "left")
     suspect = F.coalesce(F.col("freed") | F.col("first").isNull() | (F.col("first") > F.col("earliest")) | (F.col("untimed") > 0), F.lit(False))
     # Written once: the match would otherwise run again for each use below.  Heavy is what many references name, sound or not.
-    found = Scratch(refs.sparkSession, "orphans").cut(found.select(*KEY, "n", "first", "freed", suspect.alias("suspect")))
+    found = Scratch(refs.sparkSession, "orphans").cut(found.select(*KEY, "n", "first", "freed", suspect.alias("suspect")), by="suspect")
     rows = unique_lookup(refs, found.where("suspect").select(*KEY, "first", "freed"), KEY, heavy_keys(found, KEY))
     reason = (
         F.when(F.col("freed"), "freed").when(F.col("first").isNull(), "undefined")
