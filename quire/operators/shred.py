@@ -1,9 +1,10 @@
 """Deeply nested object literals into flat related tables.
 
 Each literal is stream-parsed into path-value-ordinal triples by one Arrow
-kernel; paths are grouped by their repeated ancestor (array indexes become
-``[]``) and each group can be pivoted into a table of its own, every row tied
-to its parent and object.
+kernel.  The triples of one container stand together there, so the kernel also
+groups them: a row per container, keyed by its repeated ancestor (array indexes
+become ``[]``), with its entries.  The rows of one group pivot into a table of
+their own without a shuffle, every row tied to its parent and object.
 """
 
 from __future__ import annotations
@@ -24,7 +25,36 @@ _ARROW = pa.schema([
     ("group_path", pa.string()), ("parent_group", pa.string()), ("elem_idx", pa.int32()),
     ("elem_name", pa.string()), ("kind", pa.string()), ("value", pa.string()),
 ])
+GROUPED = "object_id BIGINT, parent_group STRING, ord INT, path STRING, entries ARRAY<STRUCT<ord: INT, elem_idx: INT, elem_name: STRING, kind: STRING, value: STRING>>"
+_ENTRY = pa.struct([("ord", pa.int32()), ("elem_idx", pa.int32()), ("elem_name", pa.string()), ("kind", pa.string()), ("value", pa.string())])
+_GROUPED_ARROW = pa.schema([("object_id", pa.int64()), ("parent_group", pa.string()), ("ord", pa.int32()), ("path", pa.string()), ("entries", pa.list_(_ENTRY))])
 _ROWS, _CHARS = 20_000, 16 << 20
+ARRAY_PART = 10_000  # entries of an array in one row; longer arrays have several
+
+
+def _flush(rows: Iterator[tuple], weigh, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    held: list[tuple] = []
+    n = chars = 0
+    for row in rows:
+        held.append(row)
+        size, length = weigh(row)
+        n, chars = n + size, chars + length
+        if n >= _ROWS or chars > _CHARS:
+            yield _batch(held, schema)
+            held, n, chars = [], 0, 0
+    if held:
+        yield _batch(held, schema)
+
+
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+
+
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, str]]:
+    for batch in batches:
+        for oid, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            if text is not None:
+                yield oid, text
 
 
 def _kernel(want: tuple[str, ...], leaves: bool):
@@ -32,27 +62,39 @@ def _kernel(want: tuple[str, ...], leaves: bool):
     places = [_ARROW.get_field_index(c) for c in want]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list[tuple] = []
-        chars = 0
-        for batch in batches:
-            for oid, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if text is None:
-                    continue
-                for node in L.nodes(text, leaves):
-                    row = (oid, *node)
-                    rows.append(tuple(row[i] for i in places))
-                    chars += len(node[2])
-                    if len(rows) >= _ROWS or chars > _CHARS:
-                        yield _batch(rows, schema)
-                        rows, chars = [], 0
-        if rows:
-            yield _batch(rows, schema)
+        rows = (tuple((oid, *node)[i] for i in places) for oid, text in _texts(batches) for node in L.nodes(text, leaves))
+        at = [i for i, c in enumerate(want) if c in ("path", "value")]
+        yield from _flush(rows, lambda r: (1, sum(len(r[i] or "") for i in at)), schema)
 
     return run
 
 
-def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+def _containers(oid: int, text: str, leaves: bool, part: int) -> Iterator[tuple]:
+    """A row per container with its entries, in the order in which the containers begin; the root hangs on container -1."""
+    held: dict[int, tuple] = {-1: (oid, "", -1, "", [])}
+    for number, parent, path, group, above, index, key, kind, value in L.nodes(text, leaves):
+        entries = held[parent][4]
+        if index is not None and len(entries) == part:
+            yield held[parent]
+            held[parent] = (*held[parent][:4], entries := [])
+        entries.append((number, index, key, kind, value))
+        if kind is L.DICT or kind is L.ARRAY:
+            held[number] = (oid, group, number, path, [])
+    yield from (row for row in held.values() if row[4])
+
+
+def _grouper(leaves: bool, part: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = _ENTRY.names
+        rows = ((*row[:4], [dict(zip(names, e)) for e in row[4]]) for oid, text in _texts(batches) for row in _containers(oid, text, leaves, part))
+        yield from _flush(rows, lambda r: (len(r[4]), len(r[3])), _GROUPED_ARROW)
+
+    return run
+
+
+def _once(objects: DataFrame, key: str, text: str, repeats: bool) -> DataFrame:
+    rows = objects.where(F.col(text).isNotNull()).select(F.col(key).cast("bigint").alias("object_id"), F.col(text).alias("literal"))
+    return rows if repeats else rows.distinct()
 
 
 def triples(
@@ -67,25 +109,49 @@ def triples(
     ``want`` names the output columns, so that what isn't asked for is never
     built; without ``leaves`` only containers and references come out.
     """
-    once = objects.where(F.col(text).isNotNull()).select(F.col(key).cast("bigint").alias("object_id"), F.col(text).alias("literal")).distinct()
     fields = dict(x.split(" ") for x in TRIPLES.split(", "))
-    return once.mapInArrow(_kernel(want, leaves), ", ".join(f"{c} {fields[c]}" for c in want))
+    return _once(objects, key, text, False).mapInArrow(_kernel(want, leaves), ", ".join(f"{c} {fields[c]}" for c in want))
+
+
+def grouped(objects: DataFrame, key: str = "object_id", text: str = "literal", leaves: bool = True, repeats: bool = False, part: int = ARRAY_PART) -> DataFrame:
+    """The triples grouped by container: (object_id, parent_group, ord, path, entries).
+
+    ``parent_group`` is the path of the repeated ancestor, ``ord`` and ``path``
+    those of the container itself; the root of each literal is the only entry
+    of container -1.  An array of more than ``part`` entries has a row
+    for each so many.  Nulls and redelivered objects are as in ``triples``;
+    with ``repeats`` each delivery is grouped by itself.
+    """
+    return _once(objects, key, text, repeats).mapInArrow(_grouper(leaves, part), GROUPED)
+
+
+def _each(g: DataFrame) -> DataFrame:
+    """The triples again: a row per entry with its own path and group."""
+    rows = g.select("object_id", "parent_group", F.col("ord").alias("parent_ord"), F.col("path").alias("_above"), F.inline("entries"))
+    step = F.when(F.col("elem_idx").isNotNull(), F.concat(F.lit("["), F.col("elem_idx"), F.lit("]"))).when(F.col("parent_ord") == -1, "").otherwise(F.concat(F.lit("/"), F.col("elem_name")))
+    over = F.when(F.col("elem_idx").isNotNull(), "[]").otherwise(step)
+    return rows.withColumn("path", F.concat("_above", step)).withColumn("group_path", F.concat("parent_group", over)).drop("_above")
 
 
 def containers(objects: DataFrame, **kw: str) -> DataFrame:
-    """(object_id, path, kind) of every dictionary, array and reference below the root, each once."""
-    t = triples(objects, want=("object_id", "path", "kind"), leaves=False, **kw)
-    return t.where(F.col("path") != "").distinct()
+    """(object_id, path, kind) of every dictionary, array and reference below the root, each once, from the grouped rows.
+
+    Every delivery of an object is parsed where it lies; repeats fall away with
+    equal paths, so no literal is shuffled.
+    """
+    each = _each(grouped(objects, leaves=False, repeats=True, **kw))
+    return each.where(F.col("parent_ord") >= 0).select("object_id", "path", "kind").distinct()
 
 
-def tables(t: DataFrame) -> dict[str, DataFrame]:
-    """The flat tables of ``triples``: dictionaries, arrays, entries, elements, references.
+def tables(g: DataFrame) -> dict[str, DataFrame]:
+    """The flat tables of ``grouped``: dictionaries, arrays, entries, elements, references.
 
     Rows are tied by (object_id, ord) to their own node and by (object_id,
     parent_ord) to the container that holds them.
     """
     at = ["object_id", "ord", "parent_ord", "path", "group_path"]
     parts = F.split("value", " ")
+    t = _each(g)
     return {
         "dictionaries": t.where("kind = 'dict'").select(*at),
         "arrays": t.where("kind = 'array'").select(*at),
@@ -95,40 +161,33 @@ def tables(t: DataFrame) -> dict[str, DataFrame]:
     }
 
 
-def groups(t: DataFrame) -> DataFrame:
-    """Each repeated ancestor with its number of dictionaries and the keys they use."""
-    return (
-        t.where("elem_name is not null")
-        .groupBy("parent_group")
-        .agg(F.count_distinct("object_id", "parent_ord").alias("n_dicts"), F.array_sort(F.collect_set("elem_name")).alias("keys"))
-    )
+def groups(g: DataFrame) -> DataFrame:
+    """(parent_group, elem_name, n_dicts): the keys of each repeated ancestor with the dictionaries that use them, a row per key."""
+    keys = g.select("parent_group", F.explode(F.array_distinct(F.transform("entries", lambda e: e["elem_name"]))).alias("elem_name"))
+    return keys.where("elem_name is not null").groupBy("parent_group", "elem_name").agg(F.count("*").alias("n_dicts"))
 
 
-def pivot(t: DataFrame, group: str, keys: list[str]) -> DataFrame:
-    """One repeated ancestor as a table: a row per dictionary, a column per key.
+def pivots(g: DataFrame) -> DataFrame:
+    """Every repeated ancestor as a table: (parent_group, object_id, ord, cells), a row per dictionary with a map of all its keys.
 
-    A missing or null entry is null; of a key given twice the last wins; a
-    container is shown as its ordinal, so it can be joined to its own table.
-    Key names may clash with the link columns, so value columns are called
-    ``k_<key>``.
+    The rows of one group are its table; its columns are the keys of
+    ``groups``.  Of a key given twice the last wins; a container is shown as
+    its ordinal, so it can be joined to its own table.
     """
-    shown = F.when(F.col("kind").isin("dict", "array"), F.concat(F.lit("@"), F.col("ord"))).otherwise(F.col("value"))
-    rows = t.where((F.col("parent_group") == group) & F.col("elem_name").isNotNull())
-    return rows.groupBy("object_id", F.col("parent_ord").alias("ord")).agg(
-        *[F.max_by(shown, F.when(F.col("elem_name") == k, F.col("ord"))).alias(f"k_{k}") for k in keys]
-    )
+    shown = lambda e: F.when(e["kind"].isin("dict", "array"), F.concat(F.lit("@"), e["ord"])).otherwise(e["value"])
+    rows = g.where((F.col("ord") >= 0) & F.col("entries")[0]["elem_name"].isNotNull())
+    # A key's last entry is the one whose name doesn't come again behind it; only repeated keys need the search.
+    names = F.transform("entries", lambda e: e["elem_name"])
+    last = F.filter("entries", lambda e, i: ~F.array_contains(F.slice(names, i + 2, F.size(names)), e["elem_name"]))
+    kept = F.when(F.size(F.array_distinct(names)) == F.size(names), F.col("entries")).otherwise(last)
+    cells = F.map_from_entries(F.transform(kept, lambda e: F.struct(e["elem_name"], shown(e))))
+    return rows.select("parent_group", "object_id", "ord", cells.alias("cells"))
 
 
-def pivots(t: DataFrame) -> DataFrame:
-    """Every repeated ancestor as a table at once: ``pivot`` with a map of all its keys in place of a column per key.
+def pivot(g: DataFrame, group: str, keys: list[str]) -> DataFrame:
+    """One repeated ancestor as a table: a row per dictionary, a column per key.
 
-    The rows of one group are its table; its columns are the keys of
-    ``groups``.  Values are as in ``pivot``: of a key given twice the last wins.
+    A missing entry is null.  Key names may clash with the link columns, so
+    value columns are called ``k_<key>``.
     """
-    shown = F.when(F.col("kind").isin("dict", "array"), F.concat(F.lit("@"), F.col("ord"))).otherwise(F.col("value"))
-    entries = t.where("elem_name is not null").select("parent_group", "object_id", F.col("parent_ord").alias("ord"), F.struct(F.col("ord").alias("at"), "elem_name", shown.alias("shown")).alias("e"))
-    rows = entries.groupBy("parent_group", "object_id", "ord").agg(F.array_sort(F.collect_list("e")).alias("es"))
-    # A key's last entry is the one whose name doesn't come again behind it.
-    names = F.transform("es", lambda e: e["elem_name"])
-    last = F.filter("es", lambda e, i: ~F.array_contains(F.slice(names, i + 2, F.size(names)), e["elem_name"]))
-    return rows.select("parent_group", "object_id", "ord", F.map_from_entries(F.transform(last, lambda e: F.struct(e["elem_name"], e["shown"]))).alias("cells"))
+    return pivots(g).where(F.col("parent_group") == group).select("object_id", "ord", *[F.try_element_at("cells", F.lit(k)).alias(f"k_{k}") for k in keys])

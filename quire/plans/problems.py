@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from quire.functions.names import unescape_sql
 from quire.operators import hierarchy, orphans, rejects, shred
 from quire.session import table
 
@@ -28,44 +29,45 @@ def p3_triples(spark: SparkSession, d: str) -> DataFrame:
     return shred.triples(table(spark, d, "objects"), want=("object_id", "ord", "parent_ord", "path", "kind", "value"))
 
 
+def _groups(spark: SparkSession, d: str) -> DataFrame:
+    return shred.grouped(table(spark, d, "objects"))
+
+
 def p3_references(spark: SparkSession, d: str) -> DataFrame:
-    t = shred.triples(table(spark, d, "objects"), leaves=False)
-    return shred.tables(t)["references"].select("object_id", "ord", "parent_ord", "path", "ref_num", "ref_gen")
+    t = shred.tables(shred.grouped(table(spark, d, "objects"), leaves=False))
+    return t["references"].select("object_id", "ord", "parent_ord", "path", "ref_num", "ref_gen")
 
 
 def p3_groups(spark: SparkSession, d: str) -> DataFrame:
-    return shred.groups(shred.triples(table(spark, d, "objects"))).select("parent_group", "n_dicts", F.array_join("keys", " ").alias("keys"))
+    return shred.groups(_groups(spark, d))
 
 
 def p3_outline_table(spark: SparkSession, d: str) -> DataFrame:
     """The top-level dictionaries as one wide table over the keys of outline items."""
     keys = ["Title", "Parent", "Prev", "Next", "First", "Last", "Count"]
-    return shred.pivot(shred.triples(table(spark, d, "objects")), "", keys).where("k_Title is not null")
+    return shred.pivot(_groups(spark, d), "", keys).where("k_Title is not null")
 
 
 def p3_tables(spark: SparkSession, d: str) -> DataFrame:
-    """Every group as a table: its rows with a map of all keys they hold."""
-    return shred.pivots(shred.triples(table(spark, d, "objects")))
-
-
-def _flat(name: str, spark: SparkSession, d: str) -> DataFrame:
-    return shred.tables(shred.triples(table(spark, d, "objects")))[name]
+    """Every group as a table: its rows with all keys they hold, sorted, a line each."""
+    lines = F.transform(F.array_sort(F.map_keys("cells")), lambda k: F.concat(k, F.lit(" "), F.col("cells")[k]))
+    return shred.pivots(_groups(spark, d)).select("parent_group", "object_id", "ord", F.array_join(lines, "\n").alias("cells"))
 
 
 def p3_dictionaries(spark: SparkSession, d: str) -> DataFrame:
-    return _flat("dictionaries", spark, d)
+    return shred.tables(_groups(spark, d))["dictionaries"]
 
 
 def p3_arrays(spark: SparkSession, d: str) -> DataFrame:
-    return _flat("arrays", spark, d)
+    return shred.tables(_groups(spark, d))["arrays"]
 
 
 def p3_entries(spark: SparkSession, d: str) -> DataFrame:
-    return _flat("entries", spark, d)
+    return shred.tables(_groups(spark, d))["entries"]
 
 
 def p3_elements(spark: SparkSession, d: str) -> DataFrame:
-    return _flat("elements", spark, d)
+    return shred.tables(_groups(spark, d))["elements"]
 
 
 def _orphans(spark: SparkSession, d: str) -> DataFrame:
@@ -155,7 +157,47 @@ k AS (SELECT file_id, link_id, loaded_at, CAST(regexp_extract(node_key, '[0-9]+'
 t AS (SELECT file_id, n, g, pn, pg FROM (SELECT *, row_number() OVER (PARTITION BY file_id, n, g ORDER BY loaded_at DESC, link_id DESC) AS rn FROM k) WHERE rn = 1),
 e AS (SELECT t.file_id, t.n, t.g, p.n AS pn, p.g AS pg FROM t LEFT JOIN t p ON p.file_id = t.file_id AND p.n = t.pn AND p.g = t.pg)"""
 
+# Tokens of a literal, each with its container, the place in it and, by recursion, its path.
+_REG = "\\x00\\t\\n\\x0c\\r ()<>\\[\\]{}/%"
+_GAP = "(?:[\\x00\\t\\n\\x0c\\r ]|%[^\\r\\n]*[\\r\\n])+"
+_INNER = "[^()\\\\]|\\\\."
+_TOKENS = (
+    f"(?s)%[^\\r\\n]*|/[^{_REG}]*|[0-9]+{_GAP}[0-9]+{_GAP}R\\b|<<|>>|\\[|\\]|<[^<>]*>"
+    f"|\\((?:{_INNER}|\\((?:{_INNER}|\\((?:{_INNER})*\\))*\\))*\\)|[^{_REG}]+"
+)
+_NODES = f"""
+l AS (SELECT object_id, literal, row_number() OVER () AS lit FROM (SELECT DISTINCT object_id, literal FROM objects WHERE literal IS NOT NULL)),
+x AS (SELECT object_id, lit, list_filter(regexp_extract_all(literal, '{_TOKENS}'), lambda t: t NOT LIKE '\\%%' ESCAPE '\\') AS ts FROM l),
+k AS (SELECT object_id, lit, generate_subscripts(ts, 1) AS i, unnest(ts) AS t FROM x),
+v AS (SELECT *, sum(CASE WHEN t IN ('<<', '[') THEN 1 WHEN t IN ('>>', ']') THEN -1 ELSE 0 END) OVER (PARTITION BY lit ORDER BY i) - CASE WHEN t IN ('<<', '[') THEN 1 ELSE 0 END AS lev FROM k),
+o AS (SELECT lit, i, lev + 1 AS lev, t FROM v WHERE t IN ('<<', '[')),
+q AS (SELECT v.*, o.i AS pi, o.t AS pt FROM (SELECT * FROM v WHERE t NOT IN ('>>', ']')) v ASOF LEFT JOIN o ON o.lit = v.lit AND o.lev = v.lev AND v.i > o.i),
+c AS (SELECT *, row_number() OVER (PARTITION BY lit, pi ORDER BY i) - 1 AS place FROM q),
+e AS (SELECT *, lag(t) OVER (PARTITION BY lit, pi ORDER BY i) AS before FROM c),
+n AS (SELECT object_id, lit, i, pi, t, CASE WHEN pt = '<<' THEN {unescape_sql("substr(before, 2)")} END AS elem_name, CASE WHEN pt = '[' THEN CAST(place AS INTEGER) END AS elem_idx,
+      CAST(row_number() OVER (PARTITION BY lit ORDER BY i) - 1 AS INTEGER) AS ord FROM e WHERE pt IS DISTINCT FROM '<<' OR place % 2 = 1),
+w AS (SELECT n.*, '' AS path, '' AS group_path, '' AS parent_group, CAST(-1 AS INTEGER) AS parent_ord FROM n WHERE pi IS NULL UNION ALL
+      SELECT n.*, w.path || coalesce('/' || n.elem_name, '[' || n.elem_idx || ']'), w.group_path || coalesce('/' || n.elem_name, '[]'), w.group_path, w.ord FROM w JOIN n ON n.lit = w.lit AND n.pi = w.i),
+nodes AS (SELECT object_id, lit, ord, parent_ord, path, group_path, parent_group, elem_idx, elem_name,
+      CASE WHEN t = '<<' THEN 'dict' WHEN t = '[' THEN 'array' WHEN t LIKE '/%' THEN 'name' WHEN t LIKE '(%' THEN 'string' WHEN t LIKE '<%' THEN 'hex' WHEN regexp_full_match(t, '[0-9]+{_GAP}[0-9]+{_GAP}R') THEN 'ref'
+        WHEN t = 'null' THEN 'null' WHEN t IN ('true', 'false') THEN 'bool' WHEN regexp_full_match(t, '[+-]?[0-9]+') THEN 'int' WHEN regexp_full_match(t, '[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)') THEN 'real' ELSE 'word' END AS kind,
+      CASE WHEN t IN ('<<', '[') THEN NULL WHEN t LIKE '/%' THEN {unescape_sql("substr(t, 2)")} WHEN t LIKE '(%' OR t LIKE '<%' THEN substr(t, 2, length(t) - 2)
+        WHEN regexp_full_match(t, '[0-9]+{_GAP}[0-9]+{_GAP}R') THEN CAST(regexp_extract(t, '^[0-9]+') AS INTEGER) || ' ' || CAST(regexp_extract(t, '([0-9]+){_GAP}R$', 1) AS INTEGER) ELSE t END AS value FROM w),
+cells AS (SELECT object_id, lit, parent_group, parent_ord AS ord, elem_name, arg_max(CASE WHEN kind IN ('dict', 'array') THEN '@' || ord ELSE value END, ord) AS shown FROM nodes WHERE elem_name IS NOT NULL GROUP BY ALL)"""
+_AT = "object_id, ord, parent_ord, path, group_path"
+_SHRED = f"WITH RECURSIVE {_NODES.strip()}"
+
 SQL = {
+    "p3_found": f"{_SHRED} SELECT DISTINCT object_id, path FROM nodes WHERE kind IN ('dict', 'array', 'ref') AND path <> ''",
+    "p3_triples": f"{_SHRED} SELECT object_id, ord, parent_ord, path, kind, value FROM nodes",
+    "p3_references": f"{_SHRED} SELECT object_id, ord, parent_ord, path, CAST(split_part(value, ' ', 1) AS INTEGER) AS ref_num, CAST(split_part(value, ' ', 2) AS INTEGER) AS ref_gen FROM nodes WHERE kind = 'ref'",
+    "p3_dictionaries": f"{_SHRED} SELECT {_AT} FROM nodes WHERE kind = 'dict'",
+    "p3_arrays": f"{_SHRED} SELECT {_AT} FROM nodes WHERE kind = 'array'",
+    "p3_entries": f"{_SHRED} SELECT {_AT}, elem_name, kind, value FROM nodes WHERE elem_name IS NOT NULL",
+    "p3_elements": f"{_SHRED} SELECT {_AT}, elem_idx, kind, value FROM nodes WHERE elem_idx IS NOT NULL",
+    "p3_groups": f"{_SHRED} SELECT parent_group, elem_name, count(DISTINCT (lit, parent_ord)) AS n_dicts FROM nodes WHERE elem_name IS NOT NULL GROUP BY ALL",
+    "p3_tables": f"{_SHRED} SELECT parent_group, object_id, ord, string_agg(elem_name || ' ' || shown, chr(10) ORDER BY elem_name) AS cells FROM cells GROUP BY parent_group, object_id, lit, ord",
+    "p3_outline_table": f"{_SHRED} SELECT object_id, ord, " + ", ".join(f"max(CASE WHEN elem_name = '{k}' THEN shown END) AS k_{k}" for k in ("Title", "Parent", "Prev", "Next", "First", "Last", "Count")) + " FROM cells WHERE parent_group = '' GROUP BY object_id, lit, ord HAVING k_Title IS NOT NULL",
     "p2_found": f"WITH {_LINES.strip()} SELECT DISTINCT line_id FROM xref_lines WHERE line_id NOT IN (SELECT line_id FROM ok)",
     "p2_rejected": """WITH l AS (SELECT line_id, raw_line, regexp_full_match(raw_line, '(?s)("(?:[^"]|"")*"|[^",\\r\\n]*)(,("(?:[^"]|"")*"|[^",\\r\\n]*))*') AS ok,
           list_transform(regexp_extract_all(',' || raw_line, '(?s),("(?:[^"]|"")*"|[^",\\r\\n]*)', 1), lambda x: CASE WHEN x LIKE '"%' THEN replace(substr(x, 2, length(x) - 2), '""', '"') ELSE x END) AS f FROM xref_lines),

@@ -36,22 +36,36 @@ def test_tables(spark):
     got = sorted((r.object_id or 0, r.path) for r in shred.containers(df).collect())
     want = sorted([(1, p) for p in ("/Kids", "/Kids[0]", "/Kids[2]", "/Kids[3]", "/Kids[3][0]", "/Kids[3][0][0]")] + [(4, "/Kids"), (4, "/Kids[0]"), (4, "/Kids[1]"), (0, "[0]")])
     assert got == want
-    t = shred.triples(df)
+    t = shred.grouped(df)
     assert {k: v.count() for k, v in shred.tables(t).items()} == {"dictionaries": 5, "arrays": 5, "entries": 11, "elements": 9, "references": 3}
     wide = sorted((r.object_id, r.ord, r.k_T, r.k_U) for r in shred.pivot(t, "/Kids[]", ["T", "U"]).collect())
     assert [w[2:] for w in wide if w[0] == 4] == [("1", None), ("2", "3")]
-    assert {r.parent_group: r.n_dicts for r in shred.groups(t).collect()}["/Kids[]"] == 3
+    assert {(r.parent_group, r.elem_name): r.n_dicts for r in shred.groups(t).collect()}["/Kids[]", "T"] == 2
     assert shred.containers(spark.createDataFrame([], schema)).count() == 0
 
 
 def test_every_group_has_its_table(spark):
     rows = [(1, TEXT), (4, "<</Type/Page/Kids[<</T 1/T null/T 5>><</T 2/U 3/V [1]>>]>>"), (5, "<</Q<</X/a>>>>"), (6, "<<>>"), (7, "<</Z null/Z null>>")]
-    t = shred.triples(spark.createDataFrame(rows, "object_id BIGINT, literal STRING"))
+    df = spark.createDataFrame(rows, "object_id BIGINT, literal STRING")
+    t = shred.grouped(df)
     got = shred.pivots(t).collect()
-    for g in shred.groups(t).collect():
-        here = {(r.object_id, r.ord): r.cells for r in got if r.parent_group == g.parent_group}
-        wide = shred.pivot(t, g.parent_group, g["keys"]).collect()
-        assert len(here) == len(wide) == g.n_dicts
-        assert {k for c in here.values() for k in c} == set(g["keys"])
-        assert all(here[r.object_id, r.ord].get(k) == r[f"k_{k}"] for r in wide for k in g["keys"])
+    keys = {}
+    for r in shred.groups(t).collect():
+        keys.setdefault(r.parent_group, {})[r.elem_name] = r.n_dicts
+    for group, names in keys.items():
+        here = {(r.object_id, r.ord): r.cells for r in got if r.parent_group == group}
+        wide = shred.pivot(t, group, sorted(names)).collect()
+        assert len(here) == len(wide)
+        assert {k: sum(k in c for c in here.values()) for k in names} == names
+        assert all(here[r.object_id, r.ord].get(k) == r[f"k_{k}"] for r in wide for k in names)
+    assert [r.cells for r in got if r.object_id == 4 and r.parent_group == "/Kids[]"][0] == {"T": "5"}
     assert {"", "/Kids[]", "/Q"} <= {r.parent_group for r in got}
+
+
+def test_groups_hold_all_triples(spark):
+    df = spark.createDataFrame([(1, TEXT), (1, TEXT), (2, "7"), (3, "5 0 R"), (4, "[" + "[1] " * 10 + "]"), (5, ""), (6, None)], "object_id BIGINT, literal STRING")
+    cols = shred._ARROW.names
+    a = sorted(map(repr, map(tuple, shred.triples(df).select(cols).collect())))
+    b = sorted(map(repr, map(tuple, shred._each(shred.grouped(df, part=3)).select(cols).collect())))
+    assert a == b and shred.grouped(df, part=3).where("object_id = 4").count() == 1 + 4 + 10
+    assert sorted((r.object_id, r.path) for r in shred.containers(df).where("object_id > 1").collect()) == sorted((4, f"[{i}]") for i in range(10))
