@@ -10,6 +10,7 @@ their own without a shuffle, every row tied to its parent and object.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -32,7 +33,7 @@ _ROWS, _CHARS = 20_000, 16 << 20
 ARRAY_PART = 10_000  # entries of an array in one row; longer arrays have several
 
 
-def _flush(rows: Iterator[tuple], weigh, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+def _flush(rows: Iterator[tuple], weigh, build) -> Iterator[pa.RecordBatch]:
     held: list[tuple] = []
     n = chars = 0
     for row in rows:
@@ -40,10 +41,10 @@ def _flush(rows: Iterator[tuple], weigh, schema: pa.Schema) -> Iterator[pa.Recor
         size, length = weigh(row)
         n, chars = n + size, chars + length
         if n >= _ROWS or chars > _CHARS:
-            yield _batch(held, schema)
+            yield build(held)
             held, n, chars = [], 0, 0
     if held:
-        yield _batch(held, schema)
+        yield build(held)
 
 
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
@@ -64,7 +65,7 @@ def _kernel(want: tuple[str, ...], leaves: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = (tuple((oid, *node)[i] for i in places) for oid, text in _texts(batches) for node in L.nodes(text, leaves))
         at = [i for i, c in enumerate(want) if c in ("path", "value")]
-        yield from _flush(rows, lambda r: (1, sum(len(r[i] or "") for i in at)), schema)
+        yield from _flush(rows, lambda r: (1, sum(len(r[i] or "") for i in at)), lambda held: _batch(held, schema))
 
     return run
 
@@ -84,10 +85,16 @@ def _containers(oid: int, text: str, leaves: bool, part: int) -> Iterator[tuple]
 
 
 def _grouper(leaves: bool, part: int):
+    def build(held: list[tuple]) -> pa.RecordBatch:
+        entries = zip(*(e for row in held for e in row[4]))
+        struct = pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(entries, _ENTRY)], fields=list(_ENTRY))
+        offsets = pa.array([0, *accumulate(len(row[4]) for row in held)], pa.int32())
+        plain = [pa.array(c, f.type) for c, f in zip(zip(*(row[:4] for row in held)), _GROUPED_ARROW)]
+        return pa.RecordBatch.from_arrays([*plain, pa.ListArray.from_arrays(offsets, struct)], schema=_GROUPED_ARROW)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = _ENTRY.names
-        rows = ((*row[:4], [dict(zip(names, e)) for e in row[4]]) for oid, text in _texts(batches) for row in _containers(oid, text, leaves, part))
-        yield from _flush(rows, lambda r: (len(r[4]), len(r[3])), _GROUPED_ARROW)
+        rows = (row for oid, text in _texts(batches) for row in _containers(oid, text, leaves, part))
+        yield from _flush(rows, lambda r: (len(r[4]), len(r[3])), build)
 
     return run
 
