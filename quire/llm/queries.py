@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from quire.functions.names import unescape_sql
 from quire.llm import leaks, mojibake, packing, terms
 from quire.session import table
 
@@ -53,11 +54,9 @@ def p8_repaired(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_counts, p6_packed, p6_fill, p7_found, p7_leaks, p8_found, p8_repaired)}
 
-_PLAIN = """list_aggregate(list_transform(regexp_extract_all({0}, '#[0-9A-Fa-f]{{2}}|[^#]+|#'),
-    lambda x: CASE WHEN regexp_full_match(x, '#[0-9A-Fa-f]{{2}}') THEN chr(CAST('0x' || substr(x, 2) AS INTEGER)) ELSE x END), 'string_agg', '')"""
 _COUNTS = f"""
-t AS (SELECT 'name' AS field, coalesce({_PLAIN.format("val_name")}, '') AS term, file_id FROM object_names WHERE val_name IS NOT NULL
-      UNION ALL SELECT 'filter', coalesce({_PLAIN.format("u")}, ''), file_id FROM
+t AS (SELECT 'name' AS field, {unescape_sql("val_name")} AS term, file_id FROM object_names WHERE val_name IS NOT NULL
+      UNION ALL SELECT 'filter', {unescape_sql("u")}, file_id FROM
         (SELECT file_id, unnest(regexp_extract_all(filter_text, '/([^\\s/()<>\\[\\]{{}}%]*)', 1)) AS u FROM streams)),
 c AS (SELECT field, term, count(*) AS occurrences, count(DISTINCT file_id) AS n_records FROM t GROUP BY ALL),
 m AS (SELECT *, CASE WHEN n_records < 3 THEN 'rare' WHEN n_records > 0.5 * (SELECT count(DISTINCT file_id) FROM files) THEN 'common' ELSE 'kept' END AS mark FROM c)"""

@@ -16,8 +16,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
+from quire.functions.names import unescape
 from quire.session import Scratch
 
 SUMMARY = 512  # entries of a partition's summary
@@ -30,16 +31,6 @@ _PARTIAL = "heavy BOOLEAN, field STRING, term STRING, record BIGINT, n BIGINT"
 _PARTIAL_ARROW = pa.schema([("heavy", pa.bool_()), ("field", pa.string()), ("term", pa.string()), ("record", pa.int64()), ("n", pa.int64())])
 
 
-def unescape(c: Column) -> Column:
-    """A name with each ``#xx`` replaced by the character with that code; runs in the JVM."""
-    parts = F.split(c, "#(?=[0-9A-Fa-f]{2})", -1)
-    rest = F.transform(
-        F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))),
-        lambda p: F.concat(F.chr(F.conv(F.substring(p, 1, 2), 16, 10).cast("bigint")), F.substring(p, 3, 1 << 30)),
-    )
-    return F.when(F.instr(c, "#") == 0, c).otherwise(F.concat(parts[0], F.array_join(rest, "")))
-
-
 def terms(object_names: DataFrame, streams: DataFrame) -> DataFrame:
     """(field, term, record) of every name and filter name; nulls are no terms."""
     names = object_names.where("val_name is not null").select(F.lit("name").alias("field"), unescape(F.col("val_name")).alias("term"), F.col("file_id").alias("record"))
@@ -132,10 +123,10 @@ def counts(t: DataFrame) -> DataFrame:
     t = t.where("field is not null and term is not null").select("field", "term", F.col("record").cast("bigint").alias("record"))
     part = Scratch(t.sparkSession, "terms").cut(t.mapInArrow(_counter(heavy_terms(t)), _PARTIAL))
     total, records = F.sum("n").cast("bigint").alias("occurrences"), F.count("record").alias("n_records")
-    # Pairs of heavy terms spread over (term, record); light groups are small, so one shuffle on the term serves both steps.
-    hot = part.where("heavy").groupBy("field", "term", "record").agg(F.sum("n").alias("n")).groupBy("field", "term").agg(total, records)
-    rest = part.where("not heavy").repartition("field", "term").groupBy("field", "term", "record").agg(F.sum("n").alias("n")).groupBy("field", "term").agg(total, records)
-    return hot.unionByName(rest)
+    # Heavy terms and those too long to be one are spread over (term, record); the others' groups are small, so one shuffle on the term serves both steps.
+    wide = F.col("heavy") | (F.length("term") > HEAVY_CHARS)
+    by_record = lambda df: df.groupBy("field", "term", "record").agg(F.sum("n").alias("n")).groupBy("field", "term").agg(total, records)
+    return by_record(part.where(wide)).unionByName(by_record(part.where(~wide).repartition("field", "term")))
 
 
 def marked(c: DataFrame, n_records: int, rare: int = 3, common: float = 0.5) -> DataFrame:
