@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quire.functions import bytesql as B
+from quire.functions.names import unescape, unescape_sql
 from quire.kernels import codecs, fixtures, pagelang
 from quire.kernels.model import Options
 from quire.operators import blocks, graph, layout, verbs
@@ -26,9 +27,14 @@ def find_ref(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("file_id", "src_num", "src_gen", F.concat(F.lit("/"), F.coalesce("entry", F.lit(""))).alias("path")).distinct()
 
 
+def _names(spark: SparkSession, d: str) -> DataFrame:
+    """The names with their escapes undone; keys are listed without any."""
+    return table(spark, d, "object_names").withColumn("val_name", unescape(F.col("val_name")))
+
+
 def find_name(spark: SparkSession, d: str) -> DataFrame:
-    """Where a name is a value (/entry) or a key (\\entry)."""
-    rows = table(spark, d, "object_names").select("file_id", "obj_num", "obj_gen", "entry", "val_name")
+    """Where a name is a value (/entry) or a key (\\entry); names are compared after their escapes are undone."""
+    rows = _names(spark, d).select("file_id", "obj_num", "obj_gen", "entry", "val_name")
     values = rows.where(F.col("val_name") == NAME).select("file_id", "obj_num", "obj_gen", F.concat(F.lit("/"), F.coalesce("entry", F.lit(""))).alias("path"))
     keys = rows.where(F.col("entry") == NAME).select("file_id", "obj_num", "obj_gen", F.concat(F.lit("\\"), F.col("entry")).alias("path"))
     return values.unionByName(keys).distinct()
@@ -36,7 +42,7 @@ def find_name(spark: SparkSession, d: str) -> DataFrame:
 
 def find_occurrences(spark: SparkSession, d: str) -> DataFrame:
     """Occurrences of a name and objects that hold it, per file."""
-    found = table(spark, d, "object_names").where(F.col("val_name") == NAME)
+    found = _names(spark, d).where(F.col("val_name") == NAME)
     return found.groupBy("file_id").agg(F.count("*").alias("n"), F.count_distinct("obj_num", "obj_gen").alias("n_objects"))
 
 
@@ -152,12 +158,12 @@ def filter_histogram(spark: SparkSession, d: str) -> DataFrame:
     """Streams by filter; one without any counts as Raw."""
     names = F.regexp_extract_all(F.coalesce("filter_text", F.lit("")), F.lit(r"/([^\s/()<>\[\]{}%]*)"), 1)
     each = F.explode(F.when(F.size(names) == 0, F.array(F.lit("Raw"))).otherwise(names))
-    return table(spark, d, "streams").dropDuplicates(["stream_id"]).select(each.alias("filter")).groupBy("filter").agg(F.count("*").alias("n"))
+    return table(spark, d, "streams").dropDuplicates(["stream_id"]).select(each.alias("name")).select(unescape(F.col("name")).alias("filter")).groupBy("filter").agg(F.count("*").alias("n"))
 
 
 def types_histogram(spark: SparkSession, d: str) -> DataFrame:
     """Objects by declared type, commonest first."""
-    t = table(spark, d, "object_names").where("entry = 'Type' and val_name is not null").select("file_id", "obj_num", "obj_gen", "val_name").distinct()
+    t = _names(spark, d).where("entry = 'Type' and val_name is not null").select("file_id", "obj_num", "obj_gen", "val_name").distinct()
     return t.groupBy(F.col("val_name").alias("kind")).agg(F.count("*").alias("cnt")).orderBy(F.desc("cnt"), "kind")
 
 
@@ -165,7 +171,7 @@ _PAGE_KEYS = ["Type", "Parent", "Resources", "MediaBox", "CropBox", "Rotate", "L
 
 
 def _keys(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    names, refs = table(spark, d, "object_names"), table(spark, d, "object_refs")
+    names, refs = _names(spark, d), table(spark, d, "object_refs")
     at = ["file_id", "obj_num", "obj_gen"]
     pages = names.where("entry = 'Type' and val_name = 'Page'").select(*at).distinct()
     used = names.select(*at, "entry").unionByName(refs.select("file_id", F.col("src_num").alias("obj_num"), F.col("src_gen").alias("obj_gen"), "entry"))
@@ -388,6 +394,7 @@ QUERIES = {
     )
 }
 
+_VAL = unescape_sql("val_name")
 _E = "SELECT DISTINCT file_id, src_num, src_gen, ref_num, ref_gen FROM object_refs WHERE file_id IS NOT NULL AND src_num IS NOT NULL AND src_gen IS NOT NULL AND ref_num IS NOT NULL AND ref_gen IS NOT NULL"
 _V = "SELECT DISTINCT file_id, obj_num, obj_gen FROM objects WHERE file_id IS NOT NULL AND obj_num IS NOT NULL AND obj_gen IS NOT NULL"
 _REACH = f"""e AS ({_E}),
@@ -395,7 +402,7 @@ r AS (SELECT DISTINCT file_id, 1 AS n, 0 AS g FROM e UNION SELECT r.file_id, e.r
 k AS (SELECT file_id, n, g, CAST(row_number() OVER (PARTITION BY file_id ORDER BY n, g) AS INTEGER) AS new_num FROM r)"""
 _HEAD = "h AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY file_id, obj_num, obj_gen ORDER BY seq, kind NULLS FIRST, off NULLS FIRST, idx NULLS FIRST) AS rn, count(DISTINCT seq) OVER (PARTITION BY file_id, obj_num, obj_gen) AS n_entries FROM xref_entries WHERE file_id IS NOT NULL AND obj_num IS NOT NULL AND obj_gen IS NOT NULL AND seq IS NOT NULL) WHERE rn = 1)"
 _X = "x AS (SELECT DISTINCT file_id, obj_num, obj_gen, low, high FROM objects WHERE low IS NOT NULL AND high IS NOT NULL AND file_id IS NOT NULL)"
-_PAGES = """p AS (SELECT DISTINCT file_id, obj_num, obj_gen FROM object_names WHERE entry = 'Type' AND val_name = 'Page'),
+_PAGES = f"""p AS (SELECT DISTINCT file_id, obj_num, obj_gen FROM object_names WHERE entry = 'Type' AND {_VAL} = 'Page'),
 u AS (SELECT file_id, obj_num, obj_gen, entry FROM object_names WHERE entry IS NOT NULL UNION SELECT file_id, src_num, src_gen, entry FROM object_refs WHERE entry IS NOT NULL)"""
 _OPS = """o AS (SELECT user_id, ts, event_id, CASE event_type WHEN 'purchase' THEN 'q' WHEN 'signup' THEN 'Q' WHEN 'click' THEN 'BT' WHEN 'view' THEN 'ET' WHEN 'error' THEN 'Tj' END AS op
 FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL)"""
@@ -406,8 +413,8 @@ _BYTES = "WITH b AS (SELECT doc_id, text FROM documents WHERE text IS NOT NULL)"
 
 SQL = {
     "find_ref": f"SELECT DISTINCT file_id, src_num, src_gen, '/' || coalesce(entry, '') AS path FROM object_refs WHERE ref_num = {REF_NUM} AND ref_gen = {REF_GEN}",
-    "find_name": f"SELECT DISTINCT file_id, obj_num, obj_gen, '/' || coalesce(entry, '') AS path FROM object_names WHERE val_name = '{NAME}' UNION SELECT DISTINCT file_id, obj_num, obj_gen, '\\' || entry FROM object_names WHERE entry = '{NAME}'",
-    "find_occurrences": f"SELECT file_id, count(*) AS n, count(DISTINCT (obj_num, obj_gen)) AS n_objects FROM object_names WHERE val_name = '{NAME}' GROUP BY 1",
+    "find_name": f"SELECT DISTINCT file_id, obj_num, obj_gen, '/' || coalesce(entry, '') AS path FROM object_names WHERE {_VAL} = '{NAME}' UNION SELECT DISTINCT file_id, obj_num, obj_gen, '\\' || entry FROM object_names WHERE entry = '{NAME}'",
+    "find_occurrences": f"SELECT file_id, count(*) AS n, count(DISTINCT (obj_num, obj_gen)) AS n_objects FROM object_names WHERE {_VAL} = '{NAME}' GROUP BY 1",
     "graph_edges": _E,
     "graph_vertices": _V,
     "graph_neighbors": f"""WITH e AS ({_E}), a AS (SELECT file_id, src_num AS obj_num, src_gen AS obj_gen, count(*) AS n_out FROM e GROUP BY ALL), b AS (SELECT file_id, ref_num AS obj_num, ref_gen AS obj_gen, count(*) AS n_in FROM e GROUP BY ALL)
@@ -435,9 +442,9 @@ SQL = {
         y AS (SELECT file_id, low, coalesce(max(high + 1) OVER (PARTITION BY file_id ORDER BY low, high ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM z)
         SELECT file_id, CAST(start AS BIGINT) AS start, CAST(low - start AS BIGINT) AS size FROM y WHERE low > start""",
     "document_sizes": "SELECT file_id, count(DISTINCT (obj_num, obj_gen)) AS n_objects, max(obj_num) AS max_num FROM objects GROUP BY 1",
-    "filter_histogram": """WITH s AS (SELECT DISTINCT stream_id, filter_text FROM streams), n AS (SELECT regexp_extract_all(coalesce(filter_text, ''), '/([^\\s/()<>\\[\\]{}%]*)', 1) AS f FROM s),
-        u AS (SELECT unnest(CASE WHEN len(f) = 0 THEN ['Raw'] ELSE f END) AS filter FROM n) SELECT filter, count(*) AS n FROM u GROUP BY 1""",
-    "types_histogram": "SELECT val_name AS kind, count(DISTINCT (file_id, obj_num, obj_gen)) AS cnt FROM object_names WHERE entry = 'Type' AND val_name IS NOT NULL GROUP BY 1 ORDER BY cnt DESC, kind",
+    "filter_histogram": f"""WITH s AS (SELECT DISTINCT stream_id, filter_text FROM streams), n AS (SELECT regexp_extract_all(coalesce(filter_text, ''), '/([^\\s/()<>\\[\\]{{}}%]*)', 1) AS f FROM s),
+        u AS (SELECT unnest(CASE WHEN len(f) = 0 THEN ['Raw'] ELSE f END) AS filter FROM n) SELECT {unescape_sql('filter')} AS filter, count(*) AS n FROM u GROUP BY ALL""",
+    "types_histogram": f"SELECT {_VAL} AS kind, count(DISTINCT (file_id, obj_num, obj_gen)) AS cnt FROM object_names WHERE entry = 'Type' AND val_name IS NOT NULL GROUP BY 1 ORDER BY cnt DESC, kind",
     "class_mandatory": f"WITH {_PAGES} SELECT * FROM p WHERE NOT EXISTS (SELECT 1 FROM u WHERE u.file_id = p.file_id AND u.obj_num = p.obj_num AND u.obj_gen = p.obj_gen AND u.entry = 'Parent')",
     "class_unexpected": f"WITH {_PAGES} SELECT entry, count(*) AS n_pages FROM u SEMI JOIN p USING (file_id, obj_num, obj_gen) WHERE entry NOT IN ({', '.join(repr(k) for k in _PAGE_KEYS)}) GROUP BY 1",
     "int_range": """SELECT coalesce(kind, 'none') AS kind, count(*) FILTER (NOT obj_gen BETWEEN 0 AND 65535) AS bad_gen, count(*) FILTER (NOT off BETWEEN 0 AND 2147483647) AS bad_off,
