@@ -111,8 +111,25 @@ def runlength_encode(b: bytes) -> bytes:
     return b"".join(bytes([len(b[i : i + 128]) - 1]) + b[i : i + 128] for i in range(0, len(b), 128)) + b"\x80"
 
 
+def _lzw_roots(b: bytes) -> bytes | None:
+    """The bytes of a stream of single-byte codes that is cleared before codes grow wider than 9 bits; None if it isn't one."""
+    n = len(b) * 8 // 9
+    bits = np.unpackbits(np.frombuffer(b, np.uint8))
+    codes = bits[: n * 9].reshape(n, 9) @ (1 << np.arange(8, -1, -1))
+    ends = np.flatnonzero(codes == 257)
+    if not len(ends) or len(bits) - 9 * (ends[0] + 1) > 7 or bits[9 * (ends[0] + 1) :].any():
+        return None
+    codes = codes[: ends[0]]
+    cuts = np.flatnonzero(np.append(codes == 256, True))
+    if (codes > 256).any() or (np.diff(np.append(-1, cuts)) > 254).any():
+        return None
+    return codes[codes < 256].astype(np.uint8).tobytes()
+
+
 def lzw_decode(b: bytes) -> bytes:
     """Codes of 9 to 12 bits, high bit first; 256 clears, 257 ends; widths grow one code early."""
+    if (plain := _lzw_roots(b)) is not None:
+        return plain
     roots = [bytes([i]) for i in range(256)] + [b"", b""]
     table, width, last = list(roots), 9, None
     out = bytearray()

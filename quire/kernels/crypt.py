@@ -6,6 +6,8 @@ import hashlib
 from dataclasses import dataclass
 from typing import Any
 
+import numpy as np
+
 from quire.kernels.model import Name, PdfError, Place, Ref
 
 # The password padding of the file format, and the suffix of AES keys.
@@ -58,7 +60,7 @@ def _boxes() -> tuple[bytes, bytes]:
 
 
 _SBOX, _UNSBOX = _boxes()
-_MULT = {k: bytes(_times(a, k) for a in range(256)) for k in (9, 11, 13, 14)}
+_MULT = {k: np.array([_times(a, k) for a in range(256)], np.uint8) for k in (1, 2, 3, 9, 11, 13, 14)}
 
 
 def _schedule(key: bytes) -> list[bytes]:
@@ -74,37 +76,62 @@ def _schedule(key: bytes) -> list[bytes]:
     return [b"".join(words[i : i + 4]) for i in range(0, 44, 4)]
 
 
-_UNSHIFT = [(4 * ((i // 4 - i % 4) % 4)) + i % 4 for i in range(16)]
+_UNSHIFT = np.array([(4 * ((i // 4 - i % 4) % 4)) + i % 4 for i in range(16)])
+_SHIFT = np.argsort(_UNSHIFT)
+_FORWARD, _BACKWARD = np.frombuffer(_SBOX, np.uint8), np.frombuffer(_UNSBOX, np.uint8)
+
+
+def _mixed(s: np.ndarray, factors: tuple[int, int, int, int]) -> np.ndarray:
+    """Every column of each block times the circulant matrix of ``factors``."""
+    cols = s.reshape(-1, 4, 4)
+    out = np.zeros_like(cols)
+    for k, f in enumerate(factors):
+        out ^= _MULT[f][np.roll(cols, -k, axis=2)]
+    return out.reshape(-1, 16)
 
 
-def _block(rounds: list[bytes], block: bytes) -> bytes:
-    m9, m11, m13, m14 = (_MULT[k] for k in (9, 11, 13, 14))
-    s = bytes(a ^ b for a, b in zip(block, rounds[10]))
+def _unblocks(rounds: np.ndarray, s: np.ndarray) -> np.ndarray:
+    """All blocks decrypted side by side."""
+    s = s ^ rounds[10]
     for r in range(9, -1, -1):
-        s = bytes(_UNSBOX[s[i]] ^ k for i, k in zip(_UNSHIFT, rounds[r]))
+        s = _BACKWARD[s[:, _UNSHIFT]] ^ rounds[r]
         if r:
-            out = bytearray()
-            for c in range(0, 16, 4):
-                a, b, d, e = s[c : c + 4]
-                out += bytes((m14[a] ^ m11[b] ^ m13[d] ^ m9[e], m9[a] ^ m14[b] ^ m11[d] ^ m13[e], m13[a] ^ m9[b] ^ m14[d] ^ m11[e], m11[a] ^ m13[b] ^ m9[d] ^ m14[e]))
-            s = bytes(out)
+            s = _mixed(s, (14, 11, 13, 9))
     return s
 
 
+def _rounds(key: bytes) -> np.ndarray:
+    return np.frombuffer(b"".join(_schedule(key)), np.uint8).reshape(11, 16)
+
+
 def aes_cbc(key: bytes, data: bytes) -> bytes:
     """AES-128 in CBC mode; the first block is the IV, the end is padded as in PKCS#5."""
     if len(data) % 16:
         raise PdfError("Expected a multiple of 16 bytes for encrypted data in AES-CBC mode")
     if len(data) < 32:
         raise PdfError("Expected at least two blocks for encrypted data in AES-CBC mode")
-    rounds = _schedule(key)
-    out = b"".join(bytes(a ^ b for a, b in zip(_block(rounds, data[i : i + 16]), data[i - 16 : i])) for i in range(16, len(data), 16))
+    blocks = np.frombuffer(data, np.uint8).reshape(-1, 16)
+    out = (_unblocks(_rounds(key), blocks[1:]) ^ blocks[:-1]).tobytes()
     pad = out[-1]
     if not 1 <= pad <= 16 or out[-pad:] != bytes([pad]) * pad:
         raise PdfError("Invalid PKCS#5 padding for encrypted data in AES-CBC mode")
     return out[:-pad]
 
 
+def aes_cbc_encrypt(key: bytes, data: bytes, iv: bytes) -> bytes:
+    """The inverse of ``aes_cbc``; block after block."""
+    pad = 16 - len(data) % 16
+    rounds, last, out = _rounds(key), np.frombuffer(iv, np.uint8)[None], [iv]
+    for block in np.frombuffer(data + bytes([pad]) * pad, np.uint8).reshape(-1, 1, 16):
+        s = block ^ last ^ rounds[0]
+        for r in range(1, 11):
+            s = _FORWARD[s][:, _SHIFT]
+            s = (_mixed(s, (2, 3, 1, 1)) if r < 10 else s) ^ rounds[r]
+        last = s
+        out.append(s.tobytes())
+    return b"".join(out)
+
+
 @dataclass
 class Handler:
     """What an /Encrypt dictionary and the passwords give."""
@@ -122,10 +149,17 @@ class Handler:
         how = self.strings if strings else self.streams
         if how == "none":
             return data
-        salt = ref.num.to_bytes(4, "little")[:3] + ref.gen.to_bytes(4, "little")[:2] + (SALT if how == "aes" else b"")
-        key = hashlib.md5(self.key + salt).digest()[: min(len(self.key) + 5, 16)]
+        key = self._key(ref, how)
         return rc4(key, data) if how == "rc4" else aes_cbc(key, data)
 
+    def encrypt(self, ref: Ref, data: bytes, strings: bool = False, iv: bytes = bytes(16)) -> bytes:
+        how = self.strings if strings else self.streams
+        return aes_cbc_encrypt(self._key(ref, how), data, iv) if how == "aes" else self.decrypt(ref, data, strings)
+
+    def _key(self, ref: Ref, how: str) -> bytes:
+        salt = ref.num.to_bytes(4, "little")[:3] + ref.gen.to_bytes(4, "little")[:2] + (SALT if how == "aes" else b"")
+        return hashlib.md5(self.key + salt).digest()[: min(len(self.key) + 5, 16)]
+
 
 def _padded(password: bytes) -> bytes:
     return (password + PAD)[:32]

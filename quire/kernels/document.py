@@ -47,6 +47,7 @@ class Document:
     has_objstm: bool = False
     has_free: bool = False
     complete: bool = False
+    kept: dict[str, Any] = field(default_factory=dict, repr=False)  # what was already derived, by what it is
     errors: list[PdfError] = field(default_factory=list)
 
     @property

@@ -128,7 +128,14 @@ def content_errors(doc: Document, types: dict[Ref, schema.Kind]) -> tuple[PdfErr
 
 
 def stats(doc: Document, types: schema.Registry | None = None) -> Stats:
-    """Each stage runs only if all before it found no error."""
+    """Each stage runs only if all before it found no error; worked out once a document."""
+    reg = types or schema.registry()
+    if doc.kept.get("stats_registry") is not reg:
+        doc.kept |= {"stats_registry": reg, "stats": _stats(doc, reg)}
+    return doc.kept["stats"]
+
+
+def _stats(doc: Document, types: schema.Registry) -> Stats:
     s = Stats(doc.version, doc.updates, doc.has_objstm, doc.has_free, warnings=doc.options.warnings)
     trailer = doc.trailer
     if doc.handler:

@@ -430,8 +430,15 @@ class Checker:
 
 
 def check(doc: Document, types: Registry | None = None) -> tuple[dict[Ref, Kind], bool, PdfError | None]:
-    """(type of each object reached, whether something wasn't fully checked, first error)."""
-    c = Checker(doc, types or registry())
+    """(type of each object reached, whether something wasn't fully checked, first error); worked out once a document."""
+    reg = types or registry()
+    if doc.kept.get("registry") is not reg:
+        doc.kept |= {"registry": reg, "types": _check(doc, reg)}
+    return doc.kept["types"]
+
+
+def _check(doc: Document, reg: Registry) -> tuple[dict[Ref, Kind], bool, PdfError | None]:
+    c = Checker(doc, reg)
     try:
         c.run()
     except PdfError as e:

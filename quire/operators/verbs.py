@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -12,6 +13,7 @@ from quire.kernels.model import Options, PdfError, Ref
 from quire.sources import pdf
 
 _NO_WARN = {"warnings"}
+_FLUSH_ROWS, _FLUSH_BYTES = 1024, 8 << 20
 
 
 def _texts(files: DataFrame, make, options: Options | None, kind: str = "STRING", only: Ref | str | None = None) -> DataFrame:
@@ -20,6 +22,14 @@ def _texts(files: DataFrame, make, options: Options | None, kind: str = "STRING"
     arrow = pa.string() if kind == "STRING" else pa.binary()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        size = 0
+
+        def flush() -> pa.RecordBatch:
+            ids, values, errors = zip(*held)
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(values, arrow), pa.array(errors, pa.string())], names=["file_id", "value", "error"])
+
         for batch in batches:
             for i in range(batch.num_rows):
                 doc = document.load(batch.column(1)[i].as_py() or b"", Options(**base), only)
@@ -29,7 +39,13 @@ def _texts(files: DataFrame, make, options: Options | None, kind: str = "STRING"
                         value = make(doc)
                     except (PdfError, codecs.CodecError) as e:
                         error = str(e)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), pa.array([value], arrow), pa.array([error], pa.string())], names=["file_id", "value", "error"])
+                held.append((batch.column(0)[i].as_py(), value, error))
+                size += len(value or "")
+                if len(held) >= _FLUSH_ROWS or size > _FLUSH_BYTES:
+                    yield flush()
+                    size = 0
+        if held:
+            yield flush()
 
     return files.select(F.col("file_id").cast("bigint"), "content").mapInArrow(run, f"file_id BIGINT, value {kind}, error STRING")
 
@@ -45,7 +61,8 @@ def stats(files: DataFrame, options: Options | None = None) -> DataFrame:
 
 
 def trailers(files: DataFrame, options: Options | None = None) -> DataFrame:
-    return pdf.parse(files, "trailers", options).orderBy("file_id", "ord")
+    """Each trailer of each file, the newest as 0 in ``ord``."""
+    return pdf.parse(files, "trailers", options)
 
 
 def extract(files: DataFrame, options: Options | None = None) -> DataFrame:
@@ -119,3 +136,17 @@ def occurrences(found: DataFrame) -> DataFrame:
 def cleanup(files: DataFrame, options: Options | None = None) -> DataFrame:
     """(file_id, value, error): each file in its normal form."""
     return _texts(files, report.clean, options, "BINARY")
+
+
+def stable(files: DataFrame, options: Options | None = None) -> DataFrame:
+    """(file_id, value, error): the MD5 of each file's normal form, and an error where it isn't its own normal form."""
+    kept = {k: v for k, v in vars(options or Options()).items() if k not in _NO_WARN}
+
+    def make(doc: document.Document) -> str:
+        once = report.clean(doc)
+        again = document.load(once, Options(**kept))
+        if again.errors or report.clean(again) != once:
+            raise PdfError("The normal form is not its own normal form")
+        return hashlib.md5(once).hexdigest()
+
+    return _texts(files, make, options)

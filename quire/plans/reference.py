@@ -249,12 +249,15 @@ def md5(spark: SparkSession, d: str) -> DataFrame:
 
 def codec_round_trip(spark: SparkSession, d: str) -> DataFrame:
     """Texts that come back whole from every codec."""
-    b = _bytes(spark, d)
-    parts = [b.select(F.lit(n).alias("codec"), (F.md5(B.decode(n)(B.encode(n)("b"))) == F.md5("b")).alias("ok")) for n in codecs.CODED]
-    rows = parts[0]
-    for p in parts[1:]:
-        rows = rows.unionByName(p)
-    return rows.groupBy("codec").agg(F.count("*").alias("n"), F.count_if("ok").alias("n_ok"))
+    rows = _bytes(spark, d).select("b").mapInArrow(_round_trips, "codec STRING, n BIGINT, n_ok BIGINT")
+    return rows.groupBy("codec").agg(F.sum("n").alias("n"), F.sum("n_ok").alias("n_ok"))
+
+
+def _round_trips(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts = batch.column(0).to_pylist()
+        ok = [sum(codecs.decode(codecs.encode(b, name), name) == b for b in texts) for name in codecs.CODED]
+        yield pa.RecordBatch.from_arrays([pa.array(codecs.CODED), pa.array([len(texts)] * len(ok), pa.int64()), pa.array(ok, pa.int64())], names=["codec", "n", "n_ok"])
 
 
 # --- page language over ordered events -----------------------------------------
@@ -372,10 +375,7 @@ def pdf_diagnostics(spark: SparkSession, d: str) -> DataFrame:
 
 def pdf_cleanup(spark: SparkSession, d: str) -> DataFrame:
     """Files whose normal form is its own normal form."""
-    once = verbs.cleanup(text_files(spark, d))
-    twice = verbs.cleanup(once.select("file_id", F.col("value").alias("content"), F.md5("value").alias("_m")).select("file_id", "content"))
-    a, b = once.select("file_id", F.md5("value").alias("a")), twice.select("file_id", F.md5("value").alias("b"))
-    return a.join(b, "file_id").select("file_id", (F.col("a") == F.col("b")).alias("stable"))
+    return verbs.stable(text_files(spark, d)).select("file_id", F.col("error").isNull().alias("stable"))
 
 
 def pdf_type_registry(spark: SparkSession, d: str) -> DataFrame:

@@ -84,6 +84,9 @@ def test_ciphers():
     assert crypt.rc4(b"Password", b"Hello world").hex() == "688a030b2d4ed15671ebc5"
     data = b"fedcba9876543210" + bytes.fromhex("3c4253a6917f754726a56a20d2064845")
     assert crypt.aes_cbc(b"0123456789abcdef", data) == b"Hello world"
+    assert crypt.aes_cbc_encrypt(b"0123456789abcdef", b"Hello world", data[:16]) == data
+    for n in range(0, 70, 3):
+        assert crypt.aes_cbc(b"k" * 16, crypt.aes_cbc_encrypt(b"k" * 16, bytes(range(n)), b"i" * 16)) == bytes(range(n))
     for bad in (data[:-1], data[:16], data[:-1] + b"\0", b""):
         rejects(crypt.aes_cbc, b"0123456789abcdef", bad)
 
