@@ -61,7 +61,7 @@ def _stats(args) -> int:
 
 def _extract(args) -> int:
     doc = _loaded(args)
-    known = schema.check(doc)[0] if args.types or args.dot else {}
+    known = schema.checked(doc) if args.types or args.dot else {}
     for path, text in (
         (args.xref, lambda: report.xref_text(doc)), (args.dump, lambda: report.dump_text(doc)), (args.dot, lambda: report.dot_text(doc, known)),
         (args.visjs, lambda: report.visjs_text(doc)), (args.loc, lambda: report.layout_text(doc)), (args.holes, lambda: report.layout_text(doc, True)),

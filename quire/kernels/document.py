@@ -11,7 +11,7 @@ from dataclasses import dataclass, field
 from typing import Any, NamedTuple
 
 from quire.kernels import codecs, crypt
-from quire.kernels.model import TRAILER, Key, Options, PdfError, Place, Name, Ref, Stream, edit
+from quire.kernels.model import TRAILER, Key, Options, PdfError, Place, Name, Ref, Stream, edit, walk
 from quire.kernels.scan import Keyword, LexError, Scanner, SyntaxFault
 
 FREE, INUSE, COMPRESSED = "free", "inuse", "compressed"
@@ -553,14 +553,13 @@ def load_strict(doc: Document) -> None:
 def undefined_to_null(doc: Document) -> None:
     """References to objects that aren't there become null, in every trailer and object; each is a warning."""
 
-    def change(x: Any) -> Any:
-        if isinstance(x, Ref) and x not in doc.objects:
-            doc.options.warnings.append(f"Reference to unknown object : {_key(x)}")
-            return None
-        return x
+    def change(key: Key, x: Any) -> Any:
+        lost = [(path, v) for path, v in walk(x) if isinstance(v, Ref) and v not in doc.objects]
+        doc.options.warnings += [f"Reference to unknown object : {_key(v)}{Place(key, path)}" for path, v in lost]
+        return edit(x, lambda v: None if isinstance(v, Ref) and v not in doc.objects else v) if lost else x
 
-    doc.trailers = [edit(t, change) for t in doc.trailers]
-    doc.objects = {k: edit(v, change) for k, v in doc.objects.items()}
+    doc.trailers = [change(TRAILER, t) for t in doc.trailers]
+    doc.objects = {k: change(k, v) for k, v in doc.objects.items()}
 
 
 def load(data: bytes, options: Options | None = None, only: Ref | str | None = None) -> Document:

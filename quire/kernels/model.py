@@ -6,6 +6,7 @@ Ref, arrays list, dictionaries dict (never holding None), streams Stream.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 from typing import Any, NamedTuple
 
@@ -146,13 +147,16 @@ class Options:
 _ESCAPES = {10: "\\n", 13: "\\r", 9: "\\t", 8: "\\b", 12: "\\f", 40: "\\(", 41: "\\)", 92: "\\\\"}
 
 
+_ESCAPED = re.compile("[\n\r\t\b\f()\\\\]")
+
+
 def escape_name(name: str) -> str:
     """A name as written: delimiters, ``#`` and anything but visible ASCII as ``#XX``."""
     return "".join(c if "!" <= c <= "~" and c not in "()<>[]{}/%#" else f"#{ord(c) & 255:02X}" for c in name)
 
 
 def escape_string(raw: bytes) -> str:
-    return "".join(_ESCAPES.get(b) or chr(b) for b in raw)
+    return _ESCAPED.sub(lambda m: _ESCAPES[ord(m[0])], raw.decode("latin-1"))
 
 
 def pretty(x: Any, tab: str = "") -> str:

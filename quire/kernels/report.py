@@ -251,23 +251,61 @@ def find(doc: Document, target: Ref | str) -> list[tuple[Key, str]]:
     return out
 
 
+# The colours of vertices by type; a trailing * stands for any ending.
+COLORS = """
+c"resources" green
+s"content_stream" blue
+c"destination" orange
+c"page* red
+c"annot_* yellow
+c"outline* turquoise
+c"nametree* brown
+c"action_* magenta
+c"font_* purple
+s"font_* purple
+"""
+_COLORS = [line.rsplit(" ", 1) for line in COLORS.strip().splitlines()]
+
+
+def _color(kind: schema.Kind | None) -> str:
+    text = kind.text() if kind else ""
+    return next((c for p, c in _COLORS if text == p or (p.endswith("*") and text.startswith(p[:-1]))), "")
+
+
+def _drawn(doc: Document) -> tuple[list[Key], list[tuple[Key, Key]]]:
+    """Vertices and distinct edges in the order in which they are drawn: the trailer first, targets from the last to the first."""
+    order = lambda key: (isinstance(key, tuple), key)
+    links = {(a, b) for a, b, _ in edges(doc)}
+    return sorted((k for k, _ in doc.all()), key=order), sorted(links, key=lambda e: (order(e[0]), -e[1].num, -e[1].gen))
+
+
 def dot_text(doc: Document, types: dict[Ref, schema.Kind] | None = None) -> str:
-    """The reference graph in DOT; with types, each vertex is labelled with its own."""
-    out = ["digraph {"]
-    for key, _ in doc.all():
-        label = f'{key_text(key)}\\n{types[key].text()}'.replace('"', "'") if types and key in types else key_text(key)
-        out.append(f'    "{key_id(key)}" [label="{label}"];')
-    out += [f'    "{key_id(a)}" -> "{key_id(b)}";' for a, b, _ in edges(doc)]
+    """The reference graph in DOT; with types, vertices are coloured by theirs."""
+    vertices, links = _drawn(doc)
+    out = ["digraph objects {"]
+    for key in vertices:
+        color = _color((types or {}).get(key))
+        out.append(f'    R_{key_id(key)} [label="{key_text(key)}"' + (f', color="{color}"' if color else "") + "];")
+    out += [f"    R_{key_id(a)} -> R_{key_id(b)};" for a, b in links]
     return "\n".join([*out, "}"]) + "\n"
 
 
-def visjs_text(doc: Document) -> str:
-    """The reference graph as the two data sets of a vis.js network."""
-    import json
+# Fixed value: what follows the data in a file for a vis.js network.
+NETWORK = """var container = document.getElementById('graph');
+var data = {nodes: nodes, edges: edges};
+var options = {edges: {style: 'arrow'}};
+var graph = new vis.Network(container, data, options);
+"""
 
-    nodes = [{"id": key_id(k), "label": key_text(k)} for k, _ in doc.all()]
-    links = [{"from": key_id(a), "to": key_id(b)} for a, b, _ in edges(doc)]
-    return f"var nodes = new vis.DataSet({json.dumps(nodes)});\nvar edges = new vis.DataSet({json.dumps(links)});\n"
+
+def visjs_text(doc: Document) -> str:
+    """The reference graph as the data of a vis.js network; a key's number is the order in which it is first met."""
+    vertices, links = _drawn(doc)
+    seen: dict[str, int] = {}
+    number = lambda key: seen.setdefault(key_text(key), len(seen))
+    out = ["var nodes = [", *(f"    {{id: {number(k)}, label: '{key_text(k)}'}}," for k in vertices), "];", ""]
+    out += ["var edges = [", *(f"    {{from: {number(a)}, to: {number(b)}}}," for a, b in links), "];", ""]
+    return "\n".join(out) + "\n" + NETWORK
 
 
 # --- normal form ---------------------------------------------------------------

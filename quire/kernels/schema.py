@@ -304,7 +304,7 @@ class Checker:
             k = Kind(to.tag, to.args, k.direct)
         t, a = k.tag, k.args
         if isinstance(x, Ref) and not k.direct:
-            return self.reference(x, k)
+            return self.reference(x, k, place)
         if t in _SIMPLE:
             if _SIMPLE[t](x):
                 return k
@@ -390,10 +390,10 @@ class Checker:
         if overlap([(low, high, None) for low, high in spans]):
             raise TypeMismatch("Overlapping differences", place)
 
-    def reference(self, ref: Ref, k: Kind) -> Kind:
+    def reference(self, ref: Ref, k: Kind, place: Place) -> Kind:
         if ref not in self.types:
             self.types[ref] = k.plain()
-            self.queue.append((ref, Place(ref)))
+            self.queue.append((ref, place))
             return k
         self.types[ref] = self.reg.intersect(k.plain(), self.types[ref], Place(ref))
         return self.types[ref]
@@ -437,6 +437,14 @@ def check(doc: Document, types: Registry | None = None) -> tuple[dict[Ref, Kind]
     return doc.kept["types"]
 
 
+def checked(doc: Document, types: Registry | None = None) -> dict[Ref, Kind]:
+    """The type of each object reached; PdfError if one doesn't fit."""
+    found, _, error = check(doc, types)
+    if error:
+        raise error
+    return found
+
+
 def _check(doc: Document, reg: Registry) -> tuple[dict[Ref, Kind], bool, PdfError | None]:
     c = Checker(doc, reg)
     try:

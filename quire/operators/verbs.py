@@ -71,7 +71,7 @@ def extract(files: DataFrame, options: Options | None = None) -> DataFrame:
 
 
 def dot(files: DataFrame, options: Options | None = None, typed: bool = False) -> DataFrame:
-    return _texts(files, lambda d: report.dot_text(d, schema.check(d)[0] if typed else None), options)
+    return _texts(files, lambda d: report.dot_text(d, schema.checked(d) if typed else None), options)
 
 
 def visjs(files: DataFrame, options: Options | None = None) -> DataFrame:
@@ -88,7 +88,7 @@ def holes(files: DataFrame, options: Options | None = None) -> DataFrame:
 
 def types(files: DataFrame, options: Options | None = None) -> DataFrame:
     """The type report of each file."""
-    return _texts(files, lambda d: schema.dump(schema.check(d)[0], len(d.objects)), options)
+    return _texts(files, lambda d: schema.dump(schema.checked(d), len(d.objects)), options)
 
 
 def type_registry(spark: SparkSession, rules: str | None = None) -> dict[str, DataFrame]:

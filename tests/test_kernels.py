@@ -304,6 +304,18 @@ def test_any_number_of_line_ends_behind_the_end_mark(tail):
     assert "No startxref found" in str(D.load(fixtures.hello_file("x") + tail + b" ").errors[0])
 
 
+@pytest.mark.parametrize("name", fixtures.VARIANTS)
+def test_files_of_every_kind_are_read_or_rejected(name):
+    damaged = {"wrong_offset", "long_length", "overlap", "duplicate_key", "no_startxref", "bad_version"}
+    for text in ("", "a (b) \\ \u00fc\n" * 50):
+        doc = D.load(fixtures.varied(name, text, 3), Options(user_password=fixtures.PASSWORD))
+        assert doc.complete == (name not in damaged), doc.errors
+        if doc.complete:
+            assert doc.objects[Ref(6, 0)]["Title"] == text.encode() or "update" in name
+            s = doc.objects[Ref(4, 0)]
+            assert D.decode_stream(s, Place(), Options()).startswith(fixtures.hello(text)[0][Ref(4, 0)].raw)
+
+
 def test_command_line(tmp_path, capsys):
     from quire.cli import main
 
@@ -324,7 +336,9 @@ def test_search_graph_and_layout():
     doc = D.load(fixtures.hello_file("x"))
     assert R.find(doc, Ref(2, 0)) == [(Ref(1, 0), "/Pages"), (Ref(3, 0), "/Parent")] and (Ref(5, 0), "/Type") in R.find(doc, "Font") and (Ref(3, 0), "/Resources\\Font") in R.find(doc, "Font")
     assert {(a, b) for a, b, _ in R.edges(doc)} >= {(Ref(1, 0), Ref(2, 0)), ("trailer", Ref(1, 0))} and R.closure(doc, doc.trailer) == set(doc.objects)
-    assert '"1" -> "2"' in R.dot_text(doc) and "vis.DataSet" in R.visjs_text(doc)
+    assert "R_1 -> R_2;" in R.dot_text(doc) and "{from: 0, to: 6}" in R.visjs_text(doc)
+    coloured = R.dot_text(doc, S.checked(doc))
+    assert 'R_3 [label="3", color="red"];' in coloured and 'R_4 [label="4", color="blue"];' in coloured and 'R_1 [label="1"];' in coloured
     assert "Hole" not in R.layout_text(doc) and R.layout_text(doc).startswith("[0x0 -> 0x8 = 0x9 bytes] = version\n")
     assert D.overlap([(0, 5, 1), (6, 8, 2), (9, 10, 3)]) is None and D.overlap([(5, 10, 2), (0, 5, 1)]) == ((0, 5, 1), (5, 10, 2))
 
