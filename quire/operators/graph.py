@@ -54,6 +54,32 @@ def undefined(refs: DataFrame, objects: DataFrame) -> DataFrame:
     return unique_lookup(refs, counts.where("missing").select(*key), key, heavy_keys(counts, key)).select("file_id", *SRC, *DST).distinct()
 
 
+def nulled(refs: DataFrame, objects: DataFrame) -> DataFrame:
+    """``refs`` with the target of each reference to an object that isn't there set to null; all other rows as they are.
+
+    Null keys are no targets; repeated rows stay.
+    """
+    key = ["file_id", *DST]
+    there = vertices(objects).withColumnsRenamed({"obj_num": "ref_num", "obj_gen": "ref_gen"})
+    counts = refs.na.drop(subset=key).groupBy(*key).agg(F.count("*").alias("n")).join(there.withColumn("_there", F.lit(True)), key, "left")
+    counts = Scratch(refs.sparkSession, "nulled").cut(counts.select(*key, "n", F.col("_there").isNull().alias("missing")), by="missing")
+    heavy = F.broadcast(heavy_keys(counts, key))
+    missing = counts.where("missing").select(*key, F.lit(True).alias("_gone"))
+    # The rows of heavy targets meet at most as many rows of a broadcast; a null never equals a key.
+    hot = F.broadcast(heavy.join(missing, key, "left").select(*key, F.coalesce("_gone", F.lit(False)).alias("_gone")))
+    light = refs.join(heavy, key, "left_anti").join(missing, key, "left")
+    both = refs.join(hot, key).select(*refs.columns, "_gone").unionByName(light.select(*refs.columns, "_gone"))
+    gone = F.coalesce("_gone", F.lit(False))
+    return both.select(*[F.when(~gone, F.col(c)).alias(c) if c in DST else c for c in refs.columns])
+
+
+def left_union(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows of ``left`` and those of ``right`` whose key ``left`` hasn't; null keys are equal to each other."""
+    have = left.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).distinct()
+    cond = [right[k].eqNullSafe(have[f"_k{i}"]) for i, k in enumerate(keys)]
+    return left.unionByName(right.select(left.columns).join(have, cond, "left_anti"))
+
+
 def _local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(file_id, src, dst) sorted by file; a start is an edge from null."""
     held, n = [], 0

@@ -150,6 +150,14 @@ def containers(objects: DataFrame, **kw: str) -> DataFrame:
     return each.where(F.col("parent_ord") >= 0).select("object_id", "path", "kind").distinct()
 
 
+def scalars(objects: DataFrame, keys: list[str], text: str = "literal") -> DataFrame:
+    """(keys, kind, value) of the objects that are a number, string, name, boolean or null; each once."""
+    at = [F.col(k).alias(f"_{i}") for i, k in enumerate(keys)]
+    few = objects.where(~F.col(text).rlike(r"\A[\x00\t\n\x0c\r ]*(?:<<|\[)")).select(*at, F.xxhash64(*keys, text).alias("_id"), F.col(text).alias("_text")).distinct()
+    g = _each(grouped(few, "_id", "_text")).where("parent_ord = -1 and kind not in ('dict', 'array', 'ref', 'word')").select(F.col("object_id").alias("_id"), "kind", "value")
+    return few.join(g, "_id").select(*[F.col(f"_{i}").alias(k) for i, k in enumerate(keys)], "kind", "value").distinct()
+
+
 def tables(g: DataFrame) -> dict[str, DataFrame]:
     """The flat tables of ``grouped``: dictionaries, arrays, entries, elements, references.
 

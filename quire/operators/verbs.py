@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quire.kernels import codecs, document, report, schema
 from quire.kernels.model import Options, PdfError, Ref
+from quire.operators import graph
 from quire.sources import pdf
 
 _NO_WARN = {"warnings"}
@@ -133,6 +134,19 @@ def occurrences(found: DataFrame) -> DataFrame:
     return found.groupBy("file_id").agg(F.count("*").alias("n"), F.count_distinct("key_kind", F.coalesce("obj_num", F.lit(-1)), F.coalesce("obj_gen", F.lit(-1))).alias("n_objects"))
 
 
+def closure(nodes: DataFrame) -> DataFrame:
+    """(file_id, obj_num, obj_gen, defined): what is reachable from the trailer of each file, from a ``nodes`` table.
+
+    A target that isn't an object of the file is an error of its own: it comes
+    out with ``defined`` false, and the search goes no further there.
+    """
+    refs = nodes.where("kind = 'ref'").select("file_id", "key_kind", graph.code("obj_num", "obj_gen").alias("src"), graph.code("ref_num", "ref_gen").alias("dst"))
+    reached = graph.closure(refs.where("key_kind = 'object'"), refs.where("key_kind = 'trailer'").select("file_id", F.col("dst").alias("node")))
+    there = nodes.where("key_kind = 'object' and node_id = 0").select("file_id", graph.code("obj_num", "obj_gen").alias("node"), F.lit(True).alias("defined"))
+    num, gen = graph.uncode("node")
+    return reached.join(there, ["file_id", "node"], "left").select("file_id", num.alias("obj_num"), gen.alias("obj_gen"), F.coalesce("defined", F.lit(False)).alias("defined"))
+
+
 def cleanup(files: DataFrame, options: Options | None = None) -> DataFrame:
     """(file_id, value, error): each file in its normal form."""
     return _texts(files, report.clean, options, "BINARY")

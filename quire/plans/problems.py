@@ -165,7 +165,7 @@ _TOKENS = (
     f"(?s)%[^\\r\\n]*|/[^{_REG}]*|[0-9]+{_GAP}[0-9]+{_GAP}R\\b|<<|>>|\\[|\\]|<[^<>]*>"
     f"|\\((?:{_INNER}|\\((?:{_INNER}|\\((?:{_INNER})*\\))*\\))*\\)|[^{_REG}]+"
 )
-_NODES = f"""
+NODES = f"""
 l AS (SELECT object_id, literal, row_number() OVER () AS lit FROM (SELECT DISTINCT object_id, literal FROM objects WHERE literal IS NOT NULL)),
 x AS (SELECT object_id, lit, list_filter(regexp_extract_all(literal, '{_TOKENS}'), lambda t: t NOT LIKE '\\%%' ESCAPE '\\') AS ts FROM l),
 k AS (SELECT object_id, lit, generate_subscripts(ts, 1) AS i, unnest(ts) AS t FROM x),
@@ -185,7 +185,7 @@ nodes AS (SELECT object_id, lit, ord, parent_ord, path, group_path, parent_group
         WHEN regexp_full_match(t, '[0-9]+{_GAP}[0-9]+{_GAP}R') THEN CAST(regexp_extract(t, '^[0-9]+') AS INTEGER) || ' ' || CAST(regexp_extract(t, '([0-9]+){_GAP}R$', 1) AS INTEGER) ELSE t END AS value FROM w),
 cells AS (SELECT object_id, lit, parent_group, parent_ord AS ord, elem_name, arg_max(CASE WHEN kind IN ('dict', 'array') THEN '@' || ord ELSE value END, ord) AS shown FROM nodes WHERE elem_name IS NOT NULL GROUP BY ALL)"""
 _AT = "object_id, ord, parent_ord, path, group_path"
-_SHRED = f"WITH RECURSIVE {_NODES.strip()}"
+_SHRED = f"WITH RECURSIVE {NODES.strip()}"
 
 SQL = {
     "p3_found": f"{_SHRED} SELECT DISTINCT object_id, path FROM nodes WHERE kind IN ('dict', 'array', 'ref') AND path <> ''",

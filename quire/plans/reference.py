@@ -9,9 +9,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quire.functions import bytesql as B
 from quire.functions.names import unescape, unescape_sql
-from quire.kernels import codecs, fixtures, pagelang
+from quire.kernels import codecs, fixtures, pagelang, schema
 from quire.kernels.model import Options
-from quire.operators import blocks, graph, layout, verbs
+from quire.operators import blocks, classes, graph, layout, shred, verbs
+from quire.plans.problems import NODES
 from quire.session import spread, table
 from quire.sources import pdf
 
@@ -100,16 +101,14 @@ def undefined_refs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def undefined_to_null(spark: SparkSession, d: str) -> DataFrame:
-    """References per source object that stay, once those to missing objects are null and gone."""
-    refs, objects = table(spark, d, "object_refs"), table(spark, d, "objects")
-    have = graph.vertices(objects).withColumnsRenamed({"obj_num": "ref_num", "obj_gen": "ref_gen"})
-    return graph.edges(refs).join(have, ["file_id", "ref_num", "ref_gen"], "left_semi").groupBy("file_id", "src_num", "src_gen").agg(F.count("*").alias("n_refs"))
+    """Every reference, with the target of those to missing objects null."""
+    rows = table(spark, d, "object_refs").select("ref_id", "file_id", "src_num", "src_gen", "entry", "ref_num", "ref_gen").distinct()
+    return graph.nulled(rows, table(spark, d, "objects"))
 
 
 def inline_targets(spark: SparkSession, d: str) -> DataFrame:
     """References to small objects, with the value that would stand in their place."""
-    scalar = F.col("literal").rlike(r"\A[\x00\t\n\x0c\r ]*(?:[+-]?[0-9]+|true|false|null)[\x00\t\n\x0c\r ]*\z") & ~F.col("is_stream")
-    small = table(spark, d, "objects").where(scalar).select("file_id", F.col("obj_num").alias("ref_num"), F.col("obj_gen").alias("ref_gen"), F.regexp_extract("literal", r"[+\-a-z0-9]+", 0).alias("value")).distinct()
+    small = shred.scalars(table(spark, d, "objects").where(~F.col("is_stream")), ["file_id", "obj_num", "obj_gen"]).withColumnsRenamed({"obj_num": "ref_num", "obj_gen": "ref_gen"})
     return graph.edges(table(spark, d, "object_refs")).join(small, ["file_id", "ref_num", "ref_gen"])
 
 
@@ -167,28 +166,14 @@ def types_histogram(spark: SparkSession, d: str) -> DataFrame:
     return t.groupBy(F.col("val_name").alias("kind")).agg(F.count("*").alias("cnt")).orderBy(F.desc("cnt"), "kind")
 
 
-_PAGE_KEYS = ["Type", "Parent", "Resources", "MediaBox", "CropBox", "Rotate", "LastModified", "BleedBox", "TrimBox", "ArtBox", "Contents", "Trans", "Annots"]
-
-
-def _keys(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    names, refs = _names(spark, d), table(spark, d, "object_refs")
-    at = ["file_id", "obj_num", "obj_gen"]
-    pages = names.where("entry = 'Type' and val_name = 'Page'").select(*at).distinct()
-    used = names.select(*at, "entry").unionByName(refs.select("file_id", F.col("src_num").alias("obj_num"), F.col("src_gen").alias("obj_gen"), "entry"))
-    return pages, used.where("entry is not null").distinct()
-
-
 def class_mandatory(spark: SparkSession, d: str) -> DataFrame:
-    """Pages that hold no reference to a parent, which their class demands."""
-    pages, used = _keys(spark, d)
-    return pages.join(used.where("entry = 'Parent'"), ["file_id", "obj_num", "obj_gen"], "left_anti")
+    """Keys that objects lack although the class of their type demands them."""
+    return classes.missing(table(spark, d, "objects"))
 
 
 def class_unexpected(spark: SparkSession, d: str) -> DataFrame:
-    """Keys of pages that their class doesn't know, with the number of pages."""
-    pages, used = _keys(spark, d)
-    odd = used.where(~F.col("entry").isin(*_PAGE_KEYS)).join(pages, ["file_id", "obj_num", "obj_gen"], "left_semi")
-    return odd.groupBy("entry").agg(F.count("*").alias("n_pages"))
+    """Keys that the class of an object's type doesn't know, with the number of objects."""
+    return classes.unexpected(table(spark, d, "objects"))
 
 
 def int_range(spark: SparkSession, d: str) -> DataFrame:
@@ -369,17 +354,22 @@ def pdf_streams(spark: SparkSession, d: str) -> DataFrame:
     return s.select("file_id", "obj_num", F.octet_length("encoded").cast("bigint").alias("n_encoded"), F.octet_length("decoded").cast("bigint").alias("n_decoded"), F.size("filters").alias("n_filters"))
 
 
-def pdf_diagnostics(spark: SparkSession, d: str) -> DataFrame:
-    return pdf.parse(text_files(spark, d), "diagnostics").groupBy("severity", "message").agg(F.count("*").alias("n"))
-
-
 def pdf_cleanup(spark: SparkSession, d: str) -> DataFrame:
     """Files whose normal form is its own normal form."""
     return verbs.stable(text_files(spark, d)).select("file_id", F.col("error").isNull().alias("stable"))
 
 
 def pdf_type_registry(spark: SparkSession, d: str) -> DataFrame:
-    return verbs.type_registry(spark)["entries"]
+    """Entries of every class as the rules give them; the type in the notation of reports is left out."""
+    return verbs.type_registry(spark)["entries"].select("class", "entry", "optional")
+
+
+def pdf_type_includes(spark: SparkSession, d: str) -> DataFrame:
+    return verbs.type_registry(spark)["includes"]
+
+
+def pdf_type_aliases(spark: SparkSession, d: str) -> DataFrame:
+    return verbs.type_registry(spark)["aliases"].select("alias")
 
 
 QUERIES = {
@@ -389,8 +379,8 @@ QUERIES = {
         relink, undefined_refs, undefined_to_null, inline_targets, xref_heads, xref_report, xref_totals, xref_zero_offsets, xref_compare,
         overlaps, holes, document_sizes, filter_histogram, types_histogram, class_mandatory, class_unexpected, int_range, key_forms,
         name_forms, file_report, asciihex_encode, asciihex_round_trip, adler32, md5, codec_round_trip, qq_balance, content_dfa, pdf_stats,
-        pdf_stats_strict, pdf_find_ref, pdf_find_name, pdf_xref, pdf_types, pdf_content_ops, pdf_trailers, pdf_streams, pdf_diagnostics,
-        pdf_cleanup, pdf_type_registry,
+        pdf_stats_strict, pdf_find_ref, pdf_find_name, pdf_xref, pdf_types, pdf_content_ops, pdf_trailers, pdf_streams,
+        pdf_cleanup, pdf_type_registry, pdf_type_includes, pdf_type_aliases,
     )
 }
 
@@ -402,13 +392,19 @@ r AS (SELECT DISTINCT file_id, 1 AS n, 0 AS g FROM e UNION SELECT r.file_id, e.r
 k AS (SELECT file_id, n, g, CAST(row_number() OVER (PARTITION BY file_id ORDER BY n, g) AS INTEGER) AS new_num FROM r)"""
 _HEAD = "h AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY file_id, obj_num, obj_gen ORDER BY seq, kind NULLS FIRST, off NULLS FIRST, idx NULLS FIRST) AS rn, count(DISTINCT seq) OVER (PARTITION BY file_id, obj_num, obj_gen) AS n_entries FROM xref_entries WHERE file_id IS NOT NULL AND obj_num IS NOT NULL AND obj_gen IS NOT NULL AND seq IS NOT NULL) WHERE rn = 1)"
 _X = "x AS (SELECT DISTINCT file_id, obj_num, obj_gen, low, high FROM objects WHERE low IS NOT NULL AND high IS NOT NULL AND file_id IS NOT NULL)"
-_PAGES = f"""p AS (SELECT DISTINCT file_id, obj_num, obj_gen FROM object_names WHERE entry = 'Type' AND {_VAL} = 'Page'),
-u AS (SELECT file_id, obj_num, obj_gen, entry FROM object_names WHERE entry IS NOT NULL UNION SELECT file_id, src_num, src_gen, entry FROM object_refs WHERE entry IS NOT NULL)"""
+_RULES = f"""rule AS (SELECT * FROM (VALUES {", ".join(f"('{t}', '{c}', '{k}', {m})" for t, c, k, m in classes.rule_rows())}) r(type, class, key, mandatory)),
+y AS (SELECT object_id, lit, arg_max(value, ord) AS type FROM nodes WHERE parent_group = '' AND elem_name = 'Type' AND kind = 'name' GROUP BY ALL),
+u AS (SELECT DISTINCT object_id, lit, elem_name AS key FROM nodes WHERE parent_group = '' AND parent_ord = 0 AND elem_name IS NOT NULL AND kind <> 'null')"""
 _OPS = """o AS (SELECT user_id, ts, event_id, CASE event_type WHEN 'purchase' THEN 'q' WHEN 'signup' THEN 'Q' WHEN 'click' THEN 'BT' WHEN 'view' THEN 'ET' WHEN 'error' THEN 'Tj' END AS op
 FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL)"""
 # Length of the bytes that show a text: quotes of the string syntax cost one more byte each.
 _SHOWN = "octet_length(encode(text)) + length(text) - length(regexp_replace(text, '[\\n\\r\\t\\x08\\x0c()\\\\]', '', 'g')) + 30"
 _BODY = f"b AS (SELECT doc_id, {_SHOWN} AS n FROM documents WHERE text IS NOT NULL)"
+# The rules as text, read by SQL on its own.
+_SCHEMA = f"""l AS (SELECT i, rtrim(line) AS line FROM (SELECT unnest(string_split('{schema.DEFAULT.read_text().replace("'", "''")}', chr(10))) AS line, generate_subscripts(string_split('{schema.DEFAULT.read_text().replace("'", "''")}', chr(10)), 1) AS i)),
+h AS (SELECT *, CASE WHEN line LIKE 'class %' THEN regexp_extract(line, '^class (\\w+)', 1) WHEN line LIKE 'alias %' OR line LIKE 'tree %' THEN '' END AS head FROM l),
+k AS (SELECT i, line, last_value(head IGNORE NULLS) OVER (ORDER BY i) AS class FROM h WHERE line <> '' AND line NOT LIKE '#%'),
+t AS (SELECT regexp_extract(line, '^tree (\\w+)', 1) AS name, CASE WHEN line LIKE '% names %' THEN 'nametree' ELSE 'numtree' END AS how, CASE WHEN line LIKE '% names %' THEN 'Names' ELSE 'Nums' END AS leaf FROM l WHERE line LIKE 'tree %')"""
 _BYTES = "WITH b AS (SELECT doc_id, text FROM documents WHERE text IS NOT NULL)"
 
 SQL = {
@@ -425,9 +421,12 @@ SQL = {
     "relink": f"""WITH RECURSIVE {_REACH} SELECT e.file_id, a.new_num AS new_src, b.new_num AS new_dst FROM e
         JOIN k a ON a.file_id = e.file_id AND a.n = e.src_num AND a.g = e.src_gen JOIN k b ON b.file_id = e.file_id AND b.n = e.ref_num AND b.g = e.ref_gen""",
     "undefined_refs": f"WITH e AS ({_E}) SELECT * FROM e WHERE NOT EXISTS (SELECT 1 FROM objects o WHERE o.file_id = e.file_id AND o.obj_num = e.ref_num AND o.obj_gen = e.ref_gen)",
-    "undefined_to_null": f"WITH e AS ({_E}) SELECT file_id, src_num, src_gen, count(*) AS n_refs FROM e WHERE EXISTS (SELECT 1 FROM objects o WHERE o.file_id = e.file_id AND o.obj_num = e.ref_num AND o.obj_gen = e.ref_gen) GROUP BY ALL",
-    "inline_targets": f"""WITH e AS ({_E}), s AS (SELECT DISTINCT file_id, obj_num, obj_gen, regexp_extract(literal, '[+\\-a-z0-9]+') AS value FROM objects WHERE NOT is_stream AND regexp_full_match(literal, '[\\x00\\t\\n\\x0c\\r ]*([+-]?[0-9]+|true|false|null)[\\x00\\t\\n\\x0c\\r ]*'))
-        SELECT e.*, s.value FROM e JOIN s ON s.file_id = e.file_id AND s.obj_num = e.ref_num AND s.obj_gen = e.ref_gen""",
+    "undefined_to_null": """WITH e AS (SELECT DISTINCT ref_id, file_id, src_num, src_gen, entry, ref_num, ref_gen FROM object_refs), q AS (SELECT *, EXISTS (SELECT 1 FROM objects o WHERE o.file_id = e.file_id AND o.obj_num = e.ref_num AND o.obj_gen = e.ref_gen) AS ok FROM e)
+        SELECT ref_id, file_id, src_num, src_gen, entry, CASE WHEN ok THEN ref_num END AS ref_num, CASE WHEN ok THEN ref_gen END AS ref_gen FROM q""",
+    "inline_targets": f"""WITH e AS ({_E}), b AS (SELECT DISTINCT file_id, obj_num, obj_gen, trim(regexp_replace(literal, '%[^\\r\\n]*', '', 'g'), chr(0) || chr(9) || chr(10) || chr(12) || chr(13) || ' ') AS t FROM objects WHERE NOT is_stream AND literal IS NOT NULL),
+        s AS (SELECT DISTINCT file_id, obj_num, obj_gen, CASE WHEN t LIKE '/%' THEN 'name' WHEN t LIKE '(%' THEN 'string' WHEN t LIKE '<%' THEN 'hex' WHEN t = 'null' THEN 'null' WHEN t IN ('true', 'false') THEN 'bool' WHEN regexp_full_match(t, '[+-]?[0-9]+') THEN 'int'
+            WHEN regexp_full_match(t, '[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)') THEN 'real' END AS kind, CASE WHEN t LIKE '/%' THEN {unescape_sql("substr(t, 2)")} WHEN t LIKE '(%' OR t LIKE '<%' THEN substr(t, 2, length(t) - 2) ELSE t END AS value FROM b WHERE t NOT LIKE '<<%' AND t NOT LIKE '[%')
+        SELECT e.*, s.kind, s.value FROM e JOIN s ON s.file_id = e.file_id AND s.obj_num = e.ref_num AND s.obj_gen = e.ref_gen WHERE s.kind IS NOT NULL""",
     "xref_heads": f"WITH {_HEAD} SELECT file_id, obj_num, obj_gen, kind, off, idx, n_entries FROM h",
     "xref_report": """SELECT DISTINCT file_id, obj_num, obj_gen, seq, CASE WHEN seq > 0 THEN '*' ELSE '' END || '(' || obj_num || ', ' || obj_gen || ') ' || CASE kind WHEN 'free' THEN '[not used, next is ' || off || ']'
         WHEN 'compressed' THEN 'in (' || off || ', 0) [at ' || idx || ']' ELSE 'at ' || off || ' [0x' || lower(to_hex(off)) || ']' END AS line FROM xref_entries WHERE kind IS NOT NULL""",
@@ -445,8 +444,9 @@ SQL = {
     "filter_histogram": f"""WITH s AS (SELECT DISTINCT stream_id, filter_text FROM streams), n AS (SELECT regexp_extract_all(coalesce(filter_text, ''), '/([^\\s/()<>\\[\\]{{}}%]*)', 1) AS f FROM s),
         u AS (SELECT unnest(CASE WHEN len(f) = 0 THEN ['Raw'] ELSE f END) AS filter FROM n) SELECT {unescape_sql('filter')} AS filter, count(*) AS n FROM u GROUP BY ALL""",
     "types_histogram": f"SELECT {_VAL} AS kind, count(DISTINCT (file_id, obj_num, obj_gen)) AS cnt FROM object_names WHERE entry = 'Type' AND val_name IS NOT NULL GROUP BY 1 ORDER BY cnt DESC, kind",
-    "class_mandatory": f"WITH {_PAGES} SELECT * FROM p WHERE NOT EXISTS (SELECT 1 FROM u WHERE u.file_id = p.file_id AND u.obj_num = p.obj_num AND u.obj_gen = p.obj_gen AND u.entry = 'Parent')",
-    "class_unexpected": f"WITH {_PAGES} SELECT entry, count(*) AS n_pages FROM u SEMI JOIN p USING (file_id, obj_num, obj_gen) WHERE entry NOT IN ({', '.join(repr(k) for k in _PAGE_KEYS)}) GROUP BY 1",
+    "class_mandatory": f"WITH RECURSIVE {NODES.strip()}, {_RULES} SELECT DISTINCT y.object_id, rule.class, rule.key FROM y JOIN rule USING (type) ANTI JOIN u ON u.lit = y.lit AND u.key = rule.key WHERE rule.mandatory",
+    "class_unexpected": f"""WITH RECURSIVE {NODES.strip()}, {_RULES}, kinds AS (SELECT DISTINCT type, class FROM rule), odd AS (SELECT DISTINCT y.object_id, kinds.class, u.key FROM y JOIN kinds USING (type) JOIN u ON u.lit = y.lit ANTI JOIN rule ON rule.type = y.type AND rule.key = u.key)
+        SELECT class, key, count(*) AS n_objects FROM odd GROUP BY ALL""",
     "int_range": """SELECT coalesce(kind, 'none') AS kind, count(*) FILTER (NOT obj_gen BETWEEN 0 AND 65535) AS bad_gen, count(*) FILTER (NOT off BETWEEN 0 AND 2147483647) AS bad_off,
         count(*) FILTER (kind = 'inuse' AND off = 0) AS zero_off, count(idx) AS with_idx FROM xref_entries GROUP BY 1""",
     "key_forms": f"SELECT file_id, obj_num, obj_gen, CASE obj_gen WHEN 0 THEN obj_num || '' ELSE obj_num || ' [' || obj_gen || ']' END AS key_text, CASE obj_gen WHEN 0 THEN obj_num || '' ELSE obj_num || '_' || obj_gen END AS key_id FROM ({_V})",
@@ -480,5 +480,10 @@ SQL = {
     "pdf_content_ops": """SELECT o AS op_ord, op, c AS category, (SELECT count(*) FROM documents WHERE text IS NOT NULL) AS n FROM (VALUES (0, 'BT', 'Other'), (1, 'Tf', 'TextState'), (2, 'Td', 'TextPositioning'), (3, 'Tj', 'TextShowing'), (4, 'ET', 'Other')) t(o, op, c)""",
     "pdf_trailers": "SELECT doc_id AS file_id, 0 AS ord, '<<' || chr(10) || '    /Info 6 0 R' || chr(10) || '    /Root 1 0 R' || chr(10) || '    /Size 7' || chr(10) || '>>' AS text FROM documents WHERE text IS NOT NULL",
     "pdf_streams": f"WITH {_BODY} SELECT doc_id AS file_id, 4 AS obj_num, CAST(n AS BIGINT) AS n_encoded, CAST(n AS BIGINT) AS n_decoded, 0 AS n_filters FROM b",
+    "pdf_type_registry": f"""WITH {_SCHEMA}, a AS (SELECT class, regexp_extract(line, '^  (\\w[^!?]*)[!?]', 1) AS entry, line LIKE '%? %' AND regexp_matches(line, '^  [^!?]*[?] ') AS optional FROM k WHERE line LIKE '  %')
+        SELECT class, entry, optional FROM a UNION ALL SELECT how || part || '_' || name, key, false FROM t JOIN (VALUES ('rootnode', 'Kids'), ('rootleaf', NULL), ('node', 'Limits'), ('leaf', 'Limits')) q(part, own) ON true, LATERAL (SELECT coalesce(own, leaf) AS key)""",
+    "pdf_type_includes": f"""WITH {_SCHEMA}, a AS (SELECT class, unnest(string_split(regexp_extract(line, ': (.*)$', 1), ' ')) AS included FROM k WHERE line LIKE 'class % : %')
+        SELECT class, included FROM a UNION ALL SELECT how || part || '_' || name, how || 'root' || part || '_' || name FROM t, (VALUES ('node'), ('leaf')) q(part)""",
+    "pdf_type_aliases": f"WITH {_SCHEMA} SELECT regexp_extract(line, '^alias (\\w+) =', 1) AS alias FROM l WHERE line LIKE 'alias %'",
     "pdf_cleanup": "SELECT doc_id AS file_id, true AS stable FROM documents WHERE text IS NOT NULL",
 }

@@ -160,6 +160,11 @@ def varied_references(spark: SparkSession, d: str) -> DataFrame:
     return verbs.find_ref(_parsed(spark, d, "nodes"), 3).select("file_id", "key_kind", "obj_num", "path")
 
 
+def varied_closure(spark: SparkSession, d: str) -> DataFrame:
+    """What the trailer leads to, targets that aren't there told apart."""
+    return verbs.closure(_parsed(spark, d, "nodes"))
+
+
 def varied_names(spark: SparkSession, d: str) -> DataFrame:
     found = verbs.find_name(_parsed(spark, d, "nodes"), "Pages")
     return verbs.occurrences(found)
@@ -258,6 +263,10 @@ SQL = {
     "varied_types": f"{_W} SELECT file_id, known, n AS total, CASE WHEN name = 'trees' THEN size ELSE 1 END AS pages, CASE WHEN name = 'two_parts' THEN 2 ELSE 1 END AS contents FROM g WHERE known >= 0",
     "varied_references": f"""{_W} SELECT file_id, 'object' AS key_kind, CAST(q.n AS INTEGER) AS obj_num, q.p AS path FROM g JOIN (VALUES ('trees', 7, '/Kids[0]'), ('trees', 9, '/Names[1]/D[0]'), ('page_cycle', 2, '/Kids[1]'), ('page_cycle', 7, '/Kids[0]')) q(name, n, p) USING (name)
         UNION ALL SELECT file_id, 'object', 2, '/Kids[0]' FROM g WHERE name NOT IN ('trees', 'page_cycle', 'wrong_offset', 'no_startxref', 'bad_version')""",
+    "varied_closure": f"""{_W}, o AS (SELECT file_id, unnest(CASE name WHEN 'trees' THEN list_concat(range(1, 10), list_concat(range(11, 10 + size), range(100, 100 + size)))
+            WHEN 'wrong_offset' THEN [1, 2, 6] WHEN 'long_length' THEN [1, 2, 3, 4, 5, 6] WHEN 'duplicate_key' THEN [1, 2, 3, 6] WHEN 'undefined' THEN [1, 2, 3, 4, 5, 6, 50]
+            ELSE range(1, CASE WHEN name IN ('xref_stream', 'object_stream', 'one_update', 'two_updates', 'hybrid', 'indirect_length') THEN 7 ELSE n + 1 END) END) AS num, name FROM g WHERE name NOT IN ('no_startxref', 'bad_version'))
+        SELECT file_id, CAST(num AS INTEGER) AS obj_num, 0 AS obj_gen, NOT (name = 'undefined' AND num = 50 OR name = 'wrong_offset' AND num > 1 OR name = 'long_length' AND num > 3 OR name = 'duplicate_key' AND num > 2) AS defined FROM o""",
     "varied_names": f"""{_W} SELECT file_id, CASE WHEN name IN ('trees', 'page_cycle') THEN 3 WHEN name = 'wrong_offset' THEN 1 ELSE 2 END AS n, CASE WHEN name IN ('trees', 'page_cycle') THEN 3 WHEN name = 'wrong_offset' THEN 1 ELSE 2 END AS n_objects FROM g
         WHERE name NOT IN ('no_startxref', 'bad_version')""",
     "varied_passwords": f"{_W} SELECT file_id, 'PDF error : Invalid user and owner passwords for encrypted document in object trailer !' AS first_error FROM g WHERE enc",
