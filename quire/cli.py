@@ -7,7 +7,7 @@ import sys
 from pathlib import Path
 
 from quire.kernels import codecs, document, report, schema
-from quire.kernels.model import TRAILER, Name, Options, PdfError, Place, Ref, Stream, key_text, pretty, stream_text
+from quire.kernels.model import TRAILER, Name, Options, PdfError, Place, Ref, Stream, key_text, marked, pretty, stream_text
 
 
 def _load(args, only=None) -> document.Document:
@@ -20,7 +20,16 @@ def _load(args, only=None) -> document.Document:
         if getattr(args, flag, False):
             setattr(o, flag, True)
     o.stream_limit = getattr(args, "stream_limit", None)
-    return document.load(path.read_bytes(), o, only)
+    data = path.read_bytes()
+    doc = document.load(data, o, only)
+    if args.verbose or args.debug:
+        print(f"File has length : {len(data)} [0x{len(data):x}]", file=sys.stderr)
+        if doc.version is not None:
+            print(f"File version is : 1.{doc.version}", file=sys.stderr)
+    if args.debug:
+        for low, high, key in sorted(doc.extents, key=lambda e: e[0]):
+            print(f"{key_text(key)} from {low} [0x{low:x}] to {high} [0x{high:x}]", file=sys.stderr)
+    return doc
 
 
 def _fail(e: Exception) -> int:
@@ -102,26 +111,31 @@ def _cleanup(args) -> int:
     return 0
 
 
-def _found(doc: document.Document, hits: list, show: bool) -> int:
+def _found(doc: document.Document, hits: list, args) -> int:
+    """The places by object; with --show each object once, with --highlight its places inverted."""
     if not hits:
         print("Not found")
         return 255
+    places: dict = {}
     for key, path in hits:
-        print(f"Found in object {key_text(key)} at entry {path}")
-        if show:
-            print(pretty(doc.trailer if key == TRAILER else doc.objects[key]))
+        places.setdefault(key, []).append(path)
+    for key, paths in places.items():
+        for path in paths:
+            print(f"Found in object {key_text(key)} at entry {path}")
+        if args.show:
+            print(marked(doc.trailer if key == TRAILER else doc.objects[key], set(paths) if args.highlight else set()) + "\n")
     print(f"Found {len(hits)} occurrence(s) in {len({k for k, _ in hits})} object(s).")
     return 0
 
 
 def _findref(args) -> int:
     doc = _loaded(args)
-    return _found(doc, report.find(doc, Ref(args.num, args.gen)), args.show)
+    return _found(doc, report.find(doc, Ref(args.num, args.gen)), args)
 
 
 def _findname(args) -> int:
     doc = _loaded(args)
-    return _found(doc, report.find(doc, Name(args.name)), args.show)
+    return _found(doc, report.find(doc, Name(args.name)), args)
 
 
 def parser() -> argparse.ArgumentParser:
@@ -135,6 +149,8 @@ def parser() -> argparse.ArgumentParser:
         for f, (kind, default) in typed.items():
             v.add_argument(f"--{f.replace('_', '-')}", type=kind, default=default, required=default is ...)
         if file:
+            v.add_argument("--verbose", action="store_true", help="length and version of the file, on the error output")
+            v.add_argument("--debug", action="store_true", help="where each object was found, too; keys are always sorted, so --sort-dicts changes nothing")
             v.add_argument("--options")
             v.add_argument("file")
         v.set_defaults(run=run)
@@ -147,8 +163,8 @@ def parser() -> argparse.ArgumentParser:
     verb("object", _object, "sort-dicts", "raw-stream", "decoded-stream", num=num, gen=(int, 0))
     verb("trailer", _trailer, "sort-dicts")
     verb("cleanup", _cleanup, "decode-streams", "relax-streams", "simplify-info", "remove-ptex", "merge-content-streams", out=(str, ...))
-    verb("findref", _findref, "show", "sort-dicts", num=num, gen=(int, 0))
-    verb("findname", _findname, "show", "sort-dicts", name=(str, ...))
+    verb("findref", _findref, "show", "highlight", "sort-dicts", num=num, gen=(int, 0))
+    verb("findname", _findname, "show", "highlight", "sort-dicts", name=(str, ...))
     return p
 
 

@@ -183,6 +183,28 @@ def pretty(x: Any, tab: str = "") -> str:
     return str(x)
 
 
+# How a terminal is told to show what follows inverted, and to stop.
+INVERTED, PLAIN = "\x1b[0;7m", "\x1b[0m"
+
+
+def marked(x: Any, paths: set[str], tab: str = "", path: str = "") -> str:
+    """``pretty`` with the values at some paths inverted, and the keys at those with ``\\`` before the last name."""
+    deeper = tab + "    "
+    if isinstance(x, Stream):
+        return marked(x.dict, paths, tab, path) + "\n" + stream_text(x)
+    if isinstance(x, list):
+        out = "[" + " ".join(marked(v, paths, tab, f"{path}[{i}]") for i, v in enumerate(x)) + "]"
+    elif isinstance(x, dict):
+        out = "<<"
+        for k, v in sorted(x.items()):
+            key = "/" + escape_name(k)
+            out += f"\n{deeper}{INVERTED + key + PLAIN if f'{path}{chr(92)}{k}' in paths else key} {marked(v, paths, deeper, f'{path}/{k}')}"
+        out += f"\n{tab}>>"
+    else:
+        out = pretty(x, tab)
+    return INVERTED + out + PLAIN if path in paths and path else out
+
+
 def stream_text(s: Stream, options: Options | None = None) -> str:
     data, state = (s.raw, "encoded") if s.data is None else (s.data, "decoded")
     if options and options.expand_streams and (options.stream_limit is None or len(data) <= options.stream_limit):

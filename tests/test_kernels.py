@@ -332,6 +332,20 @@ def test_command_line(tmp_path, capsys):
         main(["stats", str(tmp_path / "none.pdf")])
 
 
+def test_found_places_are_shown_and_highlighted(tmp_path, capsys):
+    from quire.cli import main
+
+    f = tmp_path / "a.pdf"
+    f.write_bytes(fixtures.hello_file("x"))
+    assert main(["findref", "--num", "3", "--show", "--highlight", str(f)]) == 0
+    assert capsys.readouterr().out == "Found in object 2 at entry /Kids[0]\n<<\n    /Count 1\n    /Kids [\x1b[0;7m3 0 R\x1b[0m]\n    /Type /Pages\n>>\n\nFound 1 occurrence(s) in 1 object(s).\n"
+    assert main(["findname", "--name", "Font", "--show", "--highlight", str(f)]) == 0
+    out = capsys.readouterr().out
+    assert "        \x1b[0;7m/Font\x1b[0m <<" in out and "/Type \x1b[0;7m/Font\x1b[0m" in out and out.endswith("Found 2 occurrence(s) in 2 object(s).\n")
+    assert main(["findname", "--name", "Font", "--show", str(f)]) == 0 and "\x1b" not in capsys.readouterr().out
+    assert main(["xref", "--debug", str(f)]) == 0 and "File version is : 1.5" in capsys.readouterr().err
+
+
 def test_search_graph_and_layout():
     doc = D.load(fixtures.hello_file("x"))
     assert R.find(doc, Ref(2, 0)) == [(Ref(1, 0), "/Pages"), (Ref(3, 0), "/Parent")] and (Ref(5, 0), "/Type") in R.find(doc, "Font") and (Ref(3, 0), "/Resources\\Font") in R.find(doc, "Font")
