@@ -10,6 +10,7 @@ pieces and one rest.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +20,7 @@ from quire.llm import tokens as T
 from quire.session import Scratch, spread
 
 GROUP = 20_000
-CAPACITIES_MAX = 256
+CAPACITIES = 256
 _PACKED = "pack_id INT, bin BIGINT, doc_id BIGINT, piece INT, start BIGINT, tokens INT"
 _PACKED_ARROW = pa.schema([("pack_id", pa.int32()), ("bin", pa.int64()), ("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("tokens", pa.int32())])
 
@@ -94,18 +95,36 @@ def pack(items: DataFrame, sizes: DataFrame, group: int = GROUP) -> DataFrame:
     ``piece`` numbers the pieces of a split item, ``start`` is the first token
     of a piece.  Repeated rows are items of their own; an empty item takes no
     space; no items give no rows.  ``sizes`` (pack_id, capacity_tokens) must be
-    positive and at most CAPACITIES_MAX rows; null rows are left out.
+    positive; null rows are left out.  However many there are, they are worked
+    on in blocks of about CAPACITIES.
     """
-    packs = [(r.pack_id, r.capacity_tokens) for r in sizes.where("pack_id is not null and capacity_tokens is not null").select("pack_id", "capacity_tokens").distinct().orderBy("pack_id", "capacity_tokens").limit(CAPACITIES_MAX + 1).collect()]
-    if len(packs) > CAPACITIES_MAX or any(c <= 0 for _, c in packs):
-        raise ValueError(f"capacities must be positive and at most {CAPACITIES_MAX}")
+    wanted = sizes.where("pack_id is not null and capacity_tokens is not null").select("pack_id", "capacity_tokens").distinct()
+    if not wanted.where("capacity_tokens <= 0").isEmpty():
+        raise ValueError("capacities must be positive")
+    blocks = max(1, -(-wanted.count() // CAPACITIES))
     held = Scratch(items.sparkSession, "packing").cut(items.select("doc_id", "tokens"))
     groups = max(1, -(-held.count() // group))
     # The row number keeps a repeated id from filling one group.
     dealt = held.withColumn("grp", F.pmod(F.xxhash64("doc_id", "tokens", F.monotonically_increasing_id()), F.lit(groups)))
     # A fixed number of partitions: the rows are few bytes but much work, so they must not be coalesced.
     tasks = min(groups, 4 * items.sparkSession.sparkContext.defaultParallelism)
-    return dealt.repartition(tasks, "grp").groupBy("grp").applyInArrow(_pack(packs), _PACKED)
+    parts = []
+    for b in range(blocks):
+        packs = sorted((r.pack_id, r.capacity_tokens) for r in wanted.where(F.pmod(F.xxhash64("pack_id", "capacity_tokens"), F.lit(blocks)) == b).collect())
+        parts.append(dealt.repartition(tasks, "grp").groupBy("grp").applyInArrow(_pack(packs), _PACKED))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def audit(packed: DataFrame, sizes: DataFrame, slack: float = 0.05) -> DataFrame:
+    """Per capacity: items, containers over it, items split without need, items whose pieces leave gaps, and whether
+    the containers are within ``slack`` of the fewest that the tokens need."""
+    bins = packed.groupBy("pack_id", "bin").agg(F.sum("tokens").alias("held")).join(F.broadcast(sizes), "pack_id")
+    bins = bins.groupBy("pack_id", "capacity_tokens").agg(F.count_if(F.col("held") > F.col("capacity_tokens")).alias("overfull"), F.count("*").alias("_bins"), F.sum("held").alias("_held"))
+    items = packed.groupBy("pack_id", "doc_id").agg(F.count("*").alias("pieces"), F.sum("tokens").alias("size"), F.max(F.col("start") + F.col("tokens")).alias("end")).join(F.broadcast(sizes), "pack_id")
+    small = (F.col("pieces") > 1) & (F.col("size") <= F.col("capacity_tokens"))
+    items = items.groupBy("pack_id").agg(F.count("*").alias("n_docs"), F.count_if(small).alias("split_small"), F.count_if(F.col("end") != F.col("size")).alias("gaps"))
+    near = F.col("_bins") <= (1 + slack) * F.ceil(F.col("_held") / F.col("capacity_tokens")) + 1
+    return bins.join(items, "pack_id").select("pack_id", "capacity_tokens", "n_docs", "overfull", "split_small", "gaps", near.alias("near"))
 
 
 def fill(packed: DataFrame, sizes: DataFrame) -> DataFrame:

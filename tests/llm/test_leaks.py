@@ -109,3 +109,81 @@ def test_short_item_copied_whole(spark):
     items = [(1, "one two three four five six", 0), (2, "one two three four five seven", 0)]
     rows = leaks.leaks(spark.createDataFrame([(1, "zero one two three four five six", None, None)], DOCS), spark.createDataFrame(items, ITEMS)).collect()
     assert [(r.doc_id, r.item_id, r.score, r.run) for r in rows] == [(1, 1, 12, 6)]
+
+
+def edits(r, words, rate):
+    """Words changed, dropped, inserted and swapped at a rate each word has for itself."""
+    out = []
+    for w in words:
+        x = r.random()
+        out += [] if x < rate / 4 else ["other"] if x < rate / 2 else [w, "more"] if x < 3 * rate / 4 else [w]
+    if rate and len(out) > 10:
+        i = r.randrange(len(out) - 1)
+        out[i], out[i + 1] = out[i + 1], out[i]
+    return out
+
+
+def planted(seed=6):
+    """(documents, items, {kind: planted pairs}): edited, halved and reordered copies in noise, and stock phrases that are no leak."""
+    r = random.Random(seed)
+    vocab = [f"w{i}" for i in range(3000)] + ["the", "of", "to"] * 60
+    text = lambda n: [r.choice(vocab) for _ in range(n)]
+    stock = "read the passage below and answer the question in one".split()  # 10 words that all items share
+    items = [(i, stock + text(r.randint(38, 130))) for i in range(60)] + [(100 + i, text(r.randint(6, 11))) for i in range(20)]
+    docs, truth = [], {}
+
+    def put(kind, words, item=None):
+        if item is not None:
+            truth.setdefault(kind, set()).add((len(docs), item))
+        docs.append((len(docs), " ".join(text(r.randint(0, 200)) + words + text(50)), None, None))
+
+    for i, w in items:
+        long = len(w) > 40
+        for rate in (0.05, 0.1, 0.15) if long else ():
+            put(f"edited {rate}", edits(r, w, rate), i)
+        put("whole", w, i)
+        if long:
+            at = len(w) // 2
+            put("half", edits(r, w[:at + 5], 0.05), i)
+            put("moved", edits(r, w[at:] + w[:at], 0.05), i)
+    for _ in range(300):
+        put("noise", stock if r.random() < 0.5 else [])
+    return docs, [(i, " ".join(w), 0) for i, w in items], truth
+
+
+def test_recall_and_precision_of_edited_copies(spark):
+    docs, items, truth = planted()
+    got = {(x.doc_id, x.item_id) for x in leaks.leaks(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS)).collect()}
+    every = set().union(*truth.values())
+    recall = {k: len(v & got) / len(v) for k, v in truth.items()}
+    print({k: (len(truth[k]), round(x, 3)) for k, x in recall.items()}, "precision", round(len(got & every) / len(got), 3))
+    assert min(recall.values()) >= 0.9 and len(got & every) >= 0.95 * len(got)
+
+
+def test_blocks_change_nothing(spark, monkeypatch):
+    docs, items, _ = planted(7)
+    args = spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS)
+    want = sorted(map(tuple, leaks.leaks(*args).collect()))
+    monkeypatch.setattr(leaks, "BLOCK_CHARS", 4000)
+    assert sorted(map(tuple, leaks.leaks(*args).collect())) == want
+
+
+def test_places():
+    r = np.random.default_rng(5)
+    item = np.arange(1, 30, dtype=np.int32)
+    passages = [np.concatenate([np.zeros(r.integers(0, 9), np.int32), item[a:b], np.zeros(r.integers(0, 5), np.int32)]) for a, b in ((0, 29), (5, 20), (3, 4))]
+    first, last = leaks.places(passages, item)
+    for p, a, b in zip(passages, first, last):
+        at = np.flatnonzero(p)
+        assert (a, b) == (at[0], at[-1])
+
+
+def test_items_of_one_template(spark):
+    """Of items that differ in a few words only the copied one leaks, and an edited copy is told from its kin."""
+    r = random.Random(2)
+    fill = lambda i: " ".join(f"neither the person{i}{k} nor the keeper{i}{k} noticed that the thing{i}{k} had been moved beside the place{i}{k}" for k in range(4))
+    items = [(i, fill(i), 0) for i in range(12)]
+    words = items[3][1].split()
+    docs = [(1, "x " * 30 + items[5][1] + " y" * 30, None, None), (2, "x " * 30 + " ".join(edits(r, words, 0.1)), None, None), (3, items[1][1] + " z" * 20 + " ".join(edits(r, items[2][1].split(), 0.05)), None, None)]
+    got = {(x.doc_id, x.item_id) for x in leaks.leaks(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS)).collect()}
+    assert got == {(1, 5), (2, 3), (3, 1), (3, 2)}
