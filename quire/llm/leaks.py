@@ -90,13 +90,18 @@ class Items:
         self.grams = self.grams[self.grams != 0]
         self.at = [np.searchsorted(self.grams, g).astype(np.int32) for g in per]
 
-    def seeds(self) -> dict[int, list[int]]:
+    def seeds(self) -> dict[int, np.ndarray]:
         """n-gram to the items that hold it; each is a seed of all of them."""
         out: dict[int, list[int]] = defaultdict(list)
         for i, g in enumerate(self.at):
             for x in np.unique(g).tolist():
                 out[x].append(i)
-        return out
+        return {x: np.array(items) for x, items in out.items()}
+
+    def run_grams(self) -> np.ndarray:
+        """Of each item the fewest different n-grams in RUN consecutive words; more than it has where it is shorter."""
+        size = RUN - GRAM + 1
+        return np.array([min((len(set(g[i : i + size].tolist())) for i in range(len(g) - size + 1)), default=1 << 30) for g in self.at])
 
 
 def _numbered(lists: pa.ListArray) -> np.ndarray:
@@ -291,19 +296,21 @@ def _aligner(index, seeds, placed: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         it, seed = index.value, seeds.value
         known = np.zeros(len(it.vocab) + 1, bool)
+        fewest = it.run_grams()
         for batch in batches:
             rows: list[tuple] = []
             docs, words, starts = batch.column(0).to_pylist(), [w.values.to_numpy() for w in batch.column(1)], batch.column(3).to_pylist()
-            held: dict[int, list[int]] = defaultdict(list)
+            held: dict[int, list[tuple[int, bool]]] = defaultdict(list)
             for k, grams in enumerate(batch.column(2).to_pylist()):
-                for i in {i for g in grams for i in seed.get(g, ())}:
-                    held[i].append(k)
-            for i, ks in sorted(held.items()):
+                # A shared run of RUN words shares all its n-grams.
+                shared = np.bincount(np.concatenate([seed[g] for g in grams]), minlength=len(fewest))
+                for i in np.flatnonzero(shared if placed else shared >= fewest).tolist():
+                    held[i].append((k, bool(shared[i] >= fewest[i])))
+            for i, pairs in sorted(held.items()):
                 item = it.words[i]
                 edited = least(len(item))
-                need = min(edited, MATCH * RUN)
-                most = bounds([words[k] for k in ks], item, known)
-                ks = sorted((k for k, m in zip(ks, most.tolist()) if m >= need), key=lambda k: len(words[k]))
+                most = bounds([words[k] for k, _ in pairs], item, known)
+                ks = sorted((k for (k, may_run), m in zip(pairs, most.tolist()) if m >= (min(edited, MATCH * RUN) if may_run else edited)), key=lambda k: len(words[k]))
                 while ks:
                     size = max(1, CELLS // len(words[ks[-1]]))
                     part, ks = ks[-size:], ks[:-size]
