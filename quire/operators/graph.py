@@ -139,10 +139,14 @@ def closure(links: DataFrame, starts: DataFrame, local_max: int = LOCAL_MAX) ->
     if not big.isEmpty():
         wide = scratch.cut(salted_filter(links, big, "file_id", F.col("dst"), "left_semi"))
         frontier = seen = scratch.cut(starts.join(big, "file_id", "left_semi"))
+        level = 0
         while not frontier.isEmpty():
             step = frontier.withColumnRenamed("node", "src").join(wide, ["file_id", "src"]).select("file_id", F.col("dst").alias("node")).distinct()
             frontier = scratch.cut(step.join(seen, ["file_id", "node"], "left_anti"))
+            level += 1
             seen = seen.unionByName(frontier)
+            if level % 16 == 0:  # else a late level would read as many tables as there are levels
+                seen = scratch.cut(seen)
         large = seen
         links = salted_filter(links, big, "file_id", F.col("dst"), "left_anti")
         starts = starts.join(big, "file_id", "left_anti")

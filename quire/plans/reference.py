@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from quire.functions import bytesql as B
 from quire.functions.names import unescape, unescape_sql
 from quire.kernels import codecs, fixtures, pagelang, schema
-from quire.kernels.model import Options
+from quire.kernels.model import Options, PdfError
 from quire.operators import blocks, classes, graph, layout, shred, verbs
 from quire.plans.problems import NODES
 from quire.session import spread, table
@@ -268,6 +268,36 @@ def qq_balance(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("user_id").agg(F.min("depth").alias("lowest"), F.max_by("depth", F.struct("ts", "event_id")).alias("last"))
 
 
+def page_language(spark: SparkSession, d: str) -> DataFrame:
+    """Every operator with its category, its operands and the state it leads to from each state."""
+    rows = [(op, cat, pagelang.SHAPE[op], *(pagelang.step(s, op) for s in _STATES[:4])) for op, cat in pagelang.CATEGORY.items()]
+    return spark.createDataFrame(rows, "op STRING, category STRING, operands STRING, page STRING, text STRING, path STRING, clipping STRING")
+
+
+def page_runs(spark: SparkSession, d: str) -> DataFrame:
+    """Content streams of random operators, a text's words picking them: operators read, and the first error."""
+    docs = table(spark, d, "documents").where("text is not null").select("doc_id", "text")
+    return spread(docs, "doc_id").mapInArrow(_run_pages, "doc_id BIGINT, n_ops INT, error STRING")
+
+
+# Operators with operands that fit them; a text picks one by the length of each line.
+_SAMPLE = ("q", "Q", "BT", "ET", "1 w", "1 0 0 1 0 0 cm", "0 0 m", "1 1 l", "0 0 1 1 re", "S", "W", "n", "/F 9 Tf", "1 1 Td", "(a) Tj", "[(a) -5 (b)] TJ", "/P BMC", "EMC", "/X Do", "1 g", "BX", "EX")
+
+
+def _run_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        counts, errors = [], []
+        for text in batch.column(1).to_pylist():
+            ops = pagelang.parse("\n".join(_SAMPLE[len(line) % len(_SAMPLE)] for line in text.split("\n")).encode())
+            counts.append(len(ops))
+            try:
+                pagelang.check(ops)
+                errors.append(None)
+            except PdfError as e:
+                errors.append(e.message)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int32()), pa.array(errors, pa.string())], names=["doc_id", "n_ops", "error"])
+
+
 _STATES = ("page", "text", "path", "clipping", "bad")
 
 
@@ -378,7 +408,7 @@ QUERIES = {
         find_ref, find_name, find_occurrences, graph_edges, graph_vertices, graph_neighbors, refs_first_path, ref_closure, sanitize_nums,
         relink, undefined_refs, undefined_to_null, inline_targets, xref_heads, xref_report, xref_totals, xref_zero_offsets, xref_compare,
         overlaps, holes, document_sizes, filter_histogram, types_histogram, class_mandatory, class_unexpected, int_range, key_forms,
-        name_forms, file_report, asciihex_encode, asciihex_round_trip, adler32, md5, codec_round_trip, qq_balance, content_dfa, pdf_stats,
+        name_forms, file_report, asciihex_encode, asciihex_round_trip, adler32, md5, codec_round_trip, qq_balance, content_dfa, page_language, page_runs, pdf_stats,
         pdf_stats_strict, pdf_find_ref, pdf_find_name, pdf_xref, pdf_types, pdf_content_ops, pdf_trailers, pdf_streams,
         pdf_cleanup, pdf_type_registry, pdf_type_includes, pdf_type_aliases,
     )
@@ -467,6 +497,22 @@ SQL = {
         SELECT user_id, CAST(min(depth) AS BIGINT) AS lowest, CAST(arg_max(depth, (ts, event_id)) AS BIGINT) AS last FROM s GROUP BY 1""",
     "content_dfa": f"""WITH {_OPS}, l AS (SELECT user_id, list(op ORDER BY ts, event_id) AS ops FROM o WHERE op IS NOT NULL GROUP BY 1)
         SELECT user_id, list_reduce(list_prepend('page', ops), lambda s, x: CASE WHEN s = 'page' AND x IN ('q', 'Q') THEN 'page' WHEN s = 'page' AND x = 'BT' THEN 'text' WHEN s = 'text' AND x = 'ET' THEN 'page' WHEN s = 'text' AND x = 'Tj' THEN 'text' ELSE 'bad' END) AS state FROM l""",
+    "page_language": f"""WITH l AS (SELECT unnest(string_split('{pagelang.OPERATORS.strip().replace("'", "''")}', chr(10))) AS line), o AS (SELECT split_part(line, ': ', 1) AS category, unnest(string_split(split_part(line, ': ', 2), ' ')) AS x FROM l),
+        p AS (SELECT split_part(x, '(', 1) AS op, category AS c, rtrim(split_part(x, '(', 2), ')') AS operands FROM o)
+        SELECT op, c AS category, operands, CASE WHEN op = 'BT' THEN 'text' WHEN op IN ('m', 're') THEN 'path' WHEN op IN ('sh', 'BI', 'Do') OR c IN ('Compatibility', 'GeneralGraphicsState', 'SpecialGraphicsState', 'Color', 'TextState', 'MarkedContent') THEN 'page' END AS page,
+          CASE WHEN op = 'ET' THEN 'page' WHEN c IN ('Compatibility', 'GeneralGraphicsState', 'Color', 'TextState', 'TextPositioning', 'TextShowing', 'MarkedContent') THEN 'text' END AS text,
+          CASE WHEN c = 'ClippingPath' THEN 'clipping' WHEN c = 'PathPainting' THEN 'page' WHEN c IN ('Compatibility', 'PathConstruction') THEN 'path' END AS path, CASE WHEN c = 'PathPainting' THEN 'page' WHEN c = 'Compatibility' THEN 'clipping' END AS clipping FROM p""",
+    "page_runs": f"""WITH RECURSIVE s(i, op, cat) AS (VALUES {", ".join(f"({i}, '{x.split(' ')[-1]}', '{pagelang.CATEGORY[x.split(' ')[-1]]}')" for i, x in enumerate(_SAMPLE))}),
+        t(cat, op, a, b) AS (VALUES ('', 'BT', 'page', 'text'), ('', 'ET', 'text', 'page'), ('', 'm', 'page', 'path'), ('', 're', 'page', 'path'), ('', 'Do', 'page', 'page'), ('Compatibility', '', 'page', 'page'), ('Compatibility', '', 'text', 'text'), ('Compatibility', '', 'path', 'path'), ('Compatibility', '', 'clipping', 'clipping'),
+          ('GeneralGraphicsState', '', 'page', 'page'), ('GeneralGraphicsState', '', 'text', 'text'), ('SpecialGraphicsState', '', 'page', 'page'), ('Color', '', 'page', 'page'), ('Color', '', 'text', 'text'), ('TextState', '', 'page', 'page'), ('TextState', '', 'text', 'text'), ('MarkedContent', '', 'page', 'page'), ('MarkedContent', '', 'text', 'text'),
+          ('TextPositioning', '', 'text', 'text'), ('TextShowing', '', 'text', 'text'), ('PathConstruction', '', 'path', 'path'), ('ClippingPath', '', 'path', 'clipping'), ('PathPainting', '', 'path', 'page'), ('PathPainting', '', 'clipping', 'page')),
+        l AS (SELECT doc_id, list_transform(string_split(text, chr(10)), lambda x: CAST(length(x) % {len(_SAMPLE)} AS INTEGER)) AS ks FROM documents WHERE text IS NOT NULL),
+        w AS (SELECT doc_id, 0 AS at, 'page' AS state, CAST(NULL AS VARCHAR) AS bad FROM l UNION ALL
+          SELECT w.doc_id, w.at + 1, coalesce(x.b, y.b), CASE WHEN coalesce(x.b, y.b) IS NULL THEN 'Unexpected command ' || s.op || ' in state "' || w.state || '" of content stream' END
+          FROM w JOIN l ON l.doc_id = w.doc_id JOIN s ON s.i = l.ks[w.at + 1] LEFT JOIN t x ON x.op = s.op AND x.a = w.state LEFT JOIN t y ON y.cat = s.cat AND y.op = '' AND y.a = w.state WHERE w.bad IS NULL AND w.at < len(l.ks)),
+        e AS (SELECT doc_id, max(bad) AS bad FROM w GROUP BY 1), q AS (SELECT doc_id, list_transform(ks, lambda k: CASE k WHEN 0 THEN 1 WHEN 1 THEN -1 ELSE 0 END) AS steps FROM l),
+        d AS (SELECT doc_id, min(s) AS low FROM (SELECT doc_id, sum(x) OVER (PARTITION BY doc_id ORDER BY i) AS s FROM (SELECT doc_id, unnest(steps) AS x, generate_subscripts(steps, 1) AS i FROM q)) GROUP BY 1)
+        SELECT l.doc_id, CAST(len(ks) AS INTEGER) AS n_ops, CASE WHEN e.bad IS NOT NULL THEN e.bad WHEN d.low < 0 THEN 'Content stream contains unbalanced q and Q operators' END AS error FROM l JOIN e USING (doc_id) JOIN d USING (doc_id)""",
     "pdf_stats": """SELECT doc_id AS file_id, 5 AS version, false AS encrypted, 0 AS updatecount, false AS objstm, false AS free, 6 AS objcount, 6 AS knowntypes, false AS incompletetypes, true AS nographerror, true AS nocontentstreamerror, 'Raw' AS filter, 1 AS n_filter
         FROM documents WHERE text IS NOT NULL""",
     "pdf_stats_strict": """SELECT doc_id AS file_id, CASE WHEN contains(text, 'endstream') THEN NULL ELSE 5 END AS version, CASE WHEN contains(text, 'endstream') THEN -1 ELSE 0 END AS updatecount,

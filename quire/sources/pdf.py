@@ -45,10 +45,24 @@ def _arrow(table: str) -> pa.StructType:
 def read(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(file_id, path, length, content) of files; ``file_id`` is a hash of the path.
 
-    Files of no bytes are left out by Spark's file scan.
+    Files of no bytes are left out by Spark's file scan.  A path that is named
+    and isn't there is a row without length and content, which every table
+    reads as a file that isn't there: a diagnostic, not a failed job.
     """
-    df = spark.read.format("binaryFile").load(path)
-    return df.select(F.xxhash64("path").alias("file_id"), "path", "length", "content")
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    named = [path] if isinstance(path, str) else list(path)
+
+    def there(p: str) -> bool:
+        at = jvm.org.apache.hadoop.fs.Path(p)
+        found = at.getFileSystem(conf).globStatus(at)
+        return found is not None and (len(found) > 0 or any(c in p for c in "*?[{"))
+
+    good = [p for p in named if there(p)]
+    lost = spark.createDataFrame([(p,) for p in named if p not in good], "path STRING").select(F.xxhash64("path").alias("file_id"), "path", F.lit(None).cast("bigint").alias("length"), F.lit(None).cast("binary").alias("content"))
+    if not good:
+        return lost
+    df = spark.read.format("binaryFile").load(good).select(F.xxhash64("path").alias("file_id"), "path", "length", "content")
+    return df if len(good) == len(named) else df.unionByName(lost)
 
 
 # --- rows of one file ----------------------------------------------------------
@@ -159,6 +173,8 @@ def rows_of(doc: D.Document, table: str, types: schema.Registry | None = None) -
 def _safe(fid: int, content: bytes | None, options: Options, tables: tuple[str, ...], types: schema.Registry | None) -> Iterator[tuple[str, dict[str, Any]]]:
     only = D.STRUCTURE if set(tables) <= {"xref_entries", "trailers"} else None
     doc = D.load(content or b"", Options(**{k: v for k, v in vars(options).items() if k != "warnings"}), only)
+    if content is None:
+        doc.errors = [PdfError("No such file")]
     for t in tables:
         yield from ((t, row) for row in rows_of(doc, t, types))
 
@@ -203,8 +219,8 @@ def _kernel(tables: tuple[str, ...], options: Options, rules: str | None, tagged
 def parse(files: DataFrame, table: str, options: Options | None = None, rules: str | None = None) -> DataFrame:
     """One table of the files; only its rows are built.
 
-    A null content reads as an empty file, which is no file of the format:
-    it has a ``stats`` row and a diagnostic but no objects.
+    A null content is a file that isn't there, an empty one no file of the
+    format: both have a ``stats`` row and a diagnostic but no objects.
     """
     ddl = f"file_id BIGINT, {TABLES[table]}"
     return files.select(F.col("file_id").cast("bigint"), "content").mapInArrow(_kernel((table,), options or Options(), rules, False), ddl)

@@ -59,3 +59,17 @@ def test_runs(spark, monkeypatch):
     monkeypatch.setattr(orphans, "BLOCK", 4)
     df = spark.createDataFrame([(1, n, 0, T0, 0) for n in (0, 1, 2, 3, 4, 5, 9, 9)], OBJECTS)
     assert sorted((r.run_start, r.run_end) for r in orphans.runs(df).collect()) == [(0, 3), (4, 5), (9, 9)]
+
+
+def test_a_hot_sound_target_is_heavy(spark):
+    """A target that a third of all references name counts as heavy although it is defined, and its rows meet a broadcast only."""
+    refs = [(i, 1, 7, 0, T0, None) for i in range(600)] + [(1000 + i, 2, i, 0, T0, None) for i in range(1200)]
+    objects = [(1, 7, 0, T0, 0)] + [(2, i, 0, T0, 0) for i in range(600)]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = run(spark, refs, [], objects, [], [])
+        assert {r.row_id for r in got.collect()} == {1000 + i for i in range(600, 1200)}
+        targets = spark.createDataFrame([(1, 7, 0, 600)] + [(2, i, 0, 1) for i in range(1200)], "file_id BIGINT, obj_num INT, obj_gen INT, n BIGINT")
+        assert [tuple(r) for r in orphans.heavy_keys(targets, orphans.KEY).collect()] == [(1, 7, 0)]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

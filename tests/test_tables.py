@@ -59,6 +59,12 @@ def test_sources_and_stream(spark, folder, tmp_path):
     datasource.register(spark)
     rows = spark.read.format("quire_pdf").option("table", "obj_types").load(str(folder)).collect()
     assert len(rows) == 12 and {r.path.rsplit("/", 1)[1] for r in rows} == {"a.pdf", "b.pdf"}
+    rows = spark.read.format("quire_pdf").option("table", "stats").load(str(folder / "*.pdf")).collect()
+    assert {r.path.rsplit("/", 1)[1]: r.objcount for r in rows} == {"a.pdf": 6, "b.pdf": 6, "broken.pdf": -1, "empty.pdf": -1}
+    assert spark.read.format("quire_pdf").load(str(folder / "none")).count() == 0
+    some = pdf.read(spark, [str(folder / "a.pdf"), str(folder / "nowhere.pdf")])
+    assert [(r.message, r.severity) for r in pdf.parse(some, "diagnostics").collect()] == [("No such file", "error")]
+    assert pdf.parse(pdf.read(spark, str(folder / "nowhere.pdf")), "stats").first().first_error == "PDF error : No such file !"
     q = ingest.follow(ingest.files(spark, str(folder), 2), str(tmp_path / "out"), str(tmp_path / "cp"), once=True)
     q.awaitTermination(120)
     got = spark.read.parquet(str(tmp_path / "out"))
@@ -110,3 +116,24 @@ def test_layout(spark):
     files = spark.createDataFrame([(1, 3_000_020), (2, 7), (3, None)], "file_id BIGINT, length BIGINT")
     assert [(r.obj_num, r.prev_num) for r in layout.overlaps(ext).collect()] == [(2, 1)]
     assert sorted(tuple(r) for r in layout.gaps(ext, files).collect()) == [(1, 10, 10), (1, 30, 2_999_970), (1, 3_000_010, 10), (2, 0, 7)]
+
+
+def test_closure_of_a_deep_graph(spark):
+    links = spark.createDataFrame([(1, i, i + 1) for i in range(40)], "file_id BIGINT, src BIGINT, dst BIGINT")
+    starts = spark.createDataFrame([(1, 3)], "file_id BIGINT, node BIGINT")
+    assert sorted(r.node for r in graph.closure(links, starts, 5).collect()) == list(range(3, 41))
+
+
+def test_nulled_and_left_union(spark):
+    refs = spark.createDataFrame([(1, 1, 0, 5, 0), (1, 2, 0, 6, 0), (1, 2, 0, 6, 0), (1, 3, 0, None, 0), (None, 1, 0, 5, 0)] + [(1, 9, 0, 5, 0)] * 50 + [(2, 1, 0, 7, 0)] * 50, "file_id BIGINT, src_num INT, src_gen INT, ref_num INT, ref_gen INT")
+    objects = spark.createDataFrame([(1, 5, 0), (1, 5, 0)], "file_id BIGINT, obj_num INT, obj_gen INT")
+    got = graph.nulled(refs, objects).groupBy("file_id", "src_num", "ref_num").count().collect()
+    assert {(r.file_id, r.src_num, r.ref_num): r["count"] for r in got} == {(1, 1, 5): 1, (1, 2, None): 2, (1, 3, None): 1, (None, 1, 5): 1, (1, 9, 5): 50, (2, 1, None): 50}
+    a, b = spark.createDataFrame([(1, "a"), (None, "b")], "k INT, v STRING"), spark.createDataFrame([(1, "x"), (None, "y"), (2, "z"), (2, "z")], "k INT, v STRING")
+    assert sorted((str(r.k), r.v) for r in graph.left_union(a, b, ["k"]).collect()) == [("1", "a"), ("2", "z"), ("2", "z"), ("None", "b")]
+
+
+def test_verbs_over_a_missing_target(spark):
+    files = spark.createDataFrame([(i, bytearray(fixtures.varied(n, "t", 2))) for i, n in enumerate(("plain", "undefined"))], "file_id BIGINT, content BINARY")
+    got = {(r.file_id, r.obj_num): r.defined for r in verbs.closure(pdf.parse(files, "nodes")).collect()}
+    assert got == {(f, n): True for f in (0, 1) for n in range(1, 7)} | {(1, 50): False}
