@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from quire.kernels import codecs, document, report, schema
 from quire.kernels.model import Options, PdfError, Ref
 from quire.operators import graph
+from quire.session import Scratch
 from quire.sources import pdf
 
 _NO_WARN = {"warnings"}
@@ -140,6 +141,9 @@ def closure(nodes: DataFrame) -> DataFrame:
     A target that isn't an object of the file is an error of its own: it comes
     out with ``defined`` false, and the search goes no further there.
     """
+    # Written once: the files would otherwise be parsed again for each use below.
+    nodes = nodes.where("kind = 'ref' or (key_kind = 'object' and node_id = 0)").select("file_id", "key_kind", "obj_num", "obj_gen", "node_id", "kind", "ref_num", "ref_gen")
+    nodes = Scratch(nodes.sparkSession, "nodes").cut(nodes)
     refs = nodes.where("kind = 'ref'").select("file_id", "key_kind", graph.code("obj_num", "obj_gen").alias("src"), graph.code("ref_num", "ref_gen").alias("dst"))
     reached = graph.closure(refs.where("key_kind = 'object'"), refs.where("key_kind = 'trailer'").select("file_id", F.col("dst").alias("node")))
     there = nodes.where("key_kind = 'object' and node_id = 0").select("file_id", graph.code("obj_num", "obj_gen").alias("node"), F.lit(True).alias("defined"))
