@@ -61,3 +61,14 @@ def test_counts_equal_the_tokenizer(spark):
         assert c.count(t) == sum(len(c.piece.encode_ordinary(x)) for x in tokens.splitter().findall(t))
     df = spark.createDataFrame([(i, t, 0) for i, t in enumerate(texts)] + [(99, None, 0)], "doc_id BIGINT, text STRING, tokens INT")
     assert {r.doc_id: r.tokens for r in packing.count_tokens(df).collect()} == {i: c.count(t) for i, t in enumerate(texts)}
+
+
+def test_blocks_of_capacities_change_nothing(spark, monkeypatch):
+    items = spark.createDataFrame([(i, i * 7 % 90) for i in range(200)], "doc_id BIGINT, tokens BIGINT")
+    sizes = spark.createDataFrame([(i, c) for i, c in enumerate((100, 64, 90, 33, 500))], "pack_id INT, capacity_tokens INT")
+    place = lambda: sorted((r.pack_id, r.doc_id, r.piece, r.start, r.tokens) for r in packing.pack(items, sizes).collect())
+    want = place()
+    monkeypatch.setattr(packing, "CAPACITIES", 2)
+    assert place() == want
+    audit = packing.audit(packing.pack(items, sizes), sizes).collect()
+    assert len(audit) == 5 and all((r.n_docs, r.overfull, r.split_small, r.gaps, r.near) == (200, 0, 0, 0, True) for r in audit)
