@@ -84,7 +84,7 @@ def _pack(packs: list[tuple[int, int]]):
             bins = first_fit_decreasing([p[3] for p in parts], capacity)
             d, k, a, n = zip(*parts) if parts else ((), (), (), ())
             out.append(pa.table([np.full(len(parts), pack, np.int32), np.asarray(bins, np.int64) + (grp << 32), pa.array(d, pa.int64()), pa.array(k, pa.int32()), pa.array(a, pa.int64()), pa.array(n, pa.int32())], schema=_PACKED_ARROW))
-        return pa.concat_tables(out)
+        return pa.concat_tables([_PACKED_ARROW.empty_table(), *out])
 
     return run
 
