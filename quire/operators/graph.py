@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from quire.operators import blocks
-from quire.operators.skew import heavy_keys, salted_filter, unique_lookup
+from quire.operators.skew import heavy_keys, salted_filter, spread_join, unique_lookup
 from quire.session import Scratch
 
 SRC, DST = ["src_num", "src_gen"], ["ref_num", "ref_gen"]
@@ -73,6 +73,17 @@ def nulled(refs: DataFrame, objects: DataFrame) -> DataFrame:
     return both.select(*[F.when(~gone, F.col(c)).alias(c) if c in DST else c for c in refs.columns])
 
 
+def inlined(refs: DataFrame, small: DataFrame) -> DataFrame:
+    """Edges to the objects of ``small`` (file_id, obj_num, obj_gen, kind, value) with the value that would stand in their place.
+
+    An object delivered with several values gives an edge for each.
+    """
+    key = ["file_id", *DST]
+    e = edges(refs)
+    counts = e.groupBy(*key).agg(F.count("*").alias("n"))
+    return spread_join(e, small.withColumnsRenamed({"obj_num": "ref_num", "obj_gen": "ref_gen"}), key, heavy_keys(counts, key)).select("file_id", *SRC, *DST, "kind", "value")
+
+
 def left_union(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     """The rows of ``left`` and those of ``right`` whose key ``left`` hasn't; null keys are equal to each other."""
     have = left.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).distinct()
@@ -162,10 +173,16 @@ def renumber(reached: DataFrame, block: int = 4096) -> DataFrame:
 
 def relink(links: DataFrame, numbers: DataFrame) -> DataFrame:
     """(file_id, src, dst) with both ends renumbered; links from or to what has no number are dropped."""
-    to = numbers.withColumnRenamed("node", "dst").withColumnRenamed("new_num", "new_dst")
-    counts = links.groupBy("file_id", "dst").agg(F.count("*").alias("n"))
-    half = unique_lookup(links, to, ["file_id", "dst"], heavy_keys(counts, ["file_id", "dst"]))
-    return half.join(numbers.withColumnRenamed("node", "src").withColumnRenamed("new_num", "new_src"), ["file_id", "src"]).select("file_id", "new_src", "new_dst")
+    scratch = Scratch(links.sparkSession, "relink")
+    numbers = scratch.cut(numbers.select("file_id", "node", "new_num"))
+    for end in ("dst", "src"):  # either may be an object that holds much of all links
+        key = ["file_id", end]
+        to = numbers.select("file_id", F.col("node").alias(end), F.col("new_num").alias(f"new_{end}"))
+        counts = links.groupBy(*key).agg(F.count("*").alias("n"))
+        links = unique_lookup(links, to, key, heavy_keys(counts, key))
+        if end == "dst":
+            links = scratch.cut(links)
+    return links.select("file_id", "new_src", "new_dst")
 
 
 def same(a: DataFrame, b: DataFrame) -> bool:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from quire.operators import blocks
+from quire.operators.skew import salted_filter
 
 KEY = ["file_id", "obj_num", "obj_gen"]
 BLOCK_BYTES = 1 << 20
@@ -18,10 +19,12 @@ def heads(xref: DataFrame) -> DataFrame:
 
 
 def zero_offsets(xref: DataFrame, run_params: DataFrame) -> DataFrame:
-    """Entries with in-use ones at offset 0 freed, in files whose run asks for it."""
-    asks = run_params.where("zero_offset_as_free").select("file_id").na.drop().distinct().withColumn("_asks", F.lit(True))
-    freed = F.col("_asks").isNotNull() & (F.col("kind") == "inuse") & (F.col("off") == 0)
-    return xref.join(asks, "file_id", "left").withColumn("kind", F.when(freed, "free").otherwise(F.col("kind"))).drop("_asks")
+    """Entries with in-use ones at offset 0 freed, in files whose run asks for it; only these are looked up."""
+    asks = run_params.where("zero_offset_as_free").select("file_id").na.drop().distinct()
+    zero = F.coalesce((F.col("kind") == "inuse") & (F.col("off") == 0), F.lit(False))
+    found = xref.where(zero)
+    kept = salted_filter(found, asks, "file_id", F.col("obj_num"), "left_anti").unionByName(xref.where(~zero))
+    return salted_filter(found, asks, "file_id", F.col("obj_num"), "left_semi").withColumn("kind", F.lit("free")).unionByName(kept)
 
 
 def totals(xref: DataFrame) -> DataFrame:

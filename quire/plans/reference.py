@@ -108,8 +108,8 @@ def undefined_to_null(spark: SparkSession, d: str) -> DataFrame:
 
 def inline_targets(spark: SparkSession, d: str) -> DataFrame:
     """References to small objects, with the value that would stand in their place."""
-    small = shred.scalars(table(spark, d, "objects").where(~F.col("is_stream")), ["file_id", "obj_num", "obj_gen"]).withColumnsRenamed({"obj_num": "ref_num", "obj_gen": "ref_gen"})
-    return graph.edges(table(spark, d, "object_refs")).join(small, ["file_id", "ref_num", "ref_gen"])
+    small = shred.scalars(table(spark, d, "objects").where(~F.col("is_stream")), ["file_id", "obj_num", "obj_gen"])
+    return graph.inlined(table(spark, d, "object_refs"), small)
 
 
 # --- cross-reference tables and layout -----------------------------------------
