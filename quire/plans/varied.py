@@ -12,9 +12,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quire.kernels import fixtures
 from quire.kernels.model import Options
-from quire.operators import verbs
-from quire.session import spread, table
+from quire.operators import layout, verbs
+from quire.session import Scratch, spread, table
 from quire.sources import pdf
+from quire.streaming import ingest
 
 KINDS = len(fixtures.VARIANTS)
 SECRET = Options(user_password=fixtures.PASSWORD)
@@ -165,6 +166,26 @@ def varied_closure(spark: SparkSession, d: str) -> DataFrame:
     return verbs.closure(_parsed(spark, d, "nodes"))
 
 
+def varied_overlaps(spark: SparkSession, d: str) -> DataFrame:
+    """Neighbouring objects that share a byte, where the run lets them."""
+    e = _parsed(spark, d, "extents", Options(user_password=fixtures.PASSWORD, allow_overlaps=True)).where("key rlike '^[0-9]'")
+    ext = e.select("file_id", F.col("key").cast("int").alias("obj_num"), F.lit(0).alias("obj_gen"), "low", "high")
+    return layout.overlaps(ext)
+
+
+def varied_stream(spark: SparkSession, d: str) -> DataFrame:
+    """The statistics of files that arrive as a stream, as its sink holds them."""
+    base = Scratch(spark, "stream").base
+    docs = spark.readStream.schema("doc_id BIGINT, text STRING").option("pathGlobFilter", "documents.parquet").parquet(d).where("text is not null")
+    arriving = docs.mapInArrow(_make, "file_id BIGINT, length BIGINT, content BINARY")
+    rows = ingest.table(arriving, "stats", SECRET).select("file_id", "updatecount", "objcount", "first_error")
+    q = rows.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
+    q.awaitTermination()
+    if q.exception():
+        raise q.exception()
+    return spark.read.schema(rows.schema).parquet(f"{base}/out")
+
+
 def varied_names(spark: SparkSession, d: str) -> DataFrame:
     found = verbs.find_name(_parsed(spark, d, "nodes"), "Pages")
     return verbs.occurrences(found)
@@ -267,6 +288,8 @@ SQL = {
             WHEN 'wrong_offset' THEN [1, 2, 6] WHEN 'long_length' THEN [1, 2, 3, 4, 5, 6] WHEN 'duplicate_key' THEN [1, 2, 3, 6] WHEN 'undefined' THEN [1, 2, 3, 4, 5, 6, 50]
             ELSE range(1, CASE WHEN name IN ('xref_stream', 'object_stream', 'one_update', 'two_updates', 'hybrid', 'indirect_length') THEN 7 ELSE n + 1 END) END) AS num, name FROM g WHERE name NOT IN ('no_startxref', 'bad_version'))
         SELECT file_id, CAST(num AS INTEGER) AS obj_num, 0 AS obj_gen, NOT (name = 'undefined' AND num = 50 OR name = 'wrong_offset' AND num > 1 OR name = 'long_length' AND num > 3 OR name = 'duplicate_key' AND num > 2) AS defined FROM o""",
+    "varied_overlaps": f"{_W} SELECT file_id, 2 AS obj_num, 0 AS obj_gen, CAST(52 AS BIGINT) AS low, 1 AS prev_num, 0 AS prev_gen, CAST(108 AS BIGINT) AS prev_high FROM g WHERE name = 'overlap'",
+    "varied_stream": f"{_W} SELECT file_id, updates AS updatecount, objects AS objcount, err AS first_error FROM g",
     "varied_names": f"""{_W} SELECT file_id, CASE WHEN name IN ('trees', 'page_cycle') THEN 3 WHEN name = 'wrong_offset' THEN 1 ELSE 2 END AS n, CASE WHEN name IN ('trees', 'page_cycle') THEN 3 WHEN name = 'wrong_offset' THEN 1 ELSE 2 END AS n_objects FROM g
         WHERE name NOT IN ('no_startxref', 'bad_version')""",
     "varied_passwords": f"{_W} SELECT file_id, 'PDF error : Invalid user and owner passwords for encrypted document in object trailer !' AS first_error FROM g WHERE enc",
