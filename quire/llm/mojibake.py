@@ -508,6 +508,7 @@ def _weighed(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, set[str]]:
     found = scratch.cut(best.select("g", "b.original", "b.strength", "b.alone"))
     sound = counted.where(firm).join(found.where(F.col("strength") == STRONG).select(F.col("g").alias("word")), "word", "left_anti")
     ordinary = {r.g for r in sound.select("word").mapInArrow(_ordinaries, "g STRING").distinct().collect()}
+    scratch.drop(seen, counted, made)
     return found, ordinary
 
 
