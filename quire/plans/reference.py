@@ -11,7 +11,7 @@ from quire.functions import bytesql as B
 from quire.functions.names import unescape, unescape_sql
 from quire.kernels import codecs, fixtures, pagelang, schema
 from quire.kernels.model import Options, PdfError
-from quire.operators import blocks, classes, graph, layout, shred, verbs
+from quire.operators import blocks, classes, getters, graph, layout, shred, verbs
 from quire.plans.problems import NODES
 from quire.session import spread, table
 from quire.sources import pdf
@@ -176,6 +176,49 @@ def class_unexpected(spark: SparkSession, d: str) -> DataFrame:
     return classes.unexpected(table(spark, d, "objects"))
 
 
+def _dictionaries(spark: SparkSession, d: str) -> DataFrame:
+    return getters.dictionaries(shred.grouped(table(spark, d, "objects")))
+
+
+def dict_lengths(spark: SparkSession, d: str) -> DataFrame:
+    return getters.lengths(_dictionaries(spark, d))
+
+
+def dict_members(spark: SparkSession, d: str) -> DataFrame:
+    """Objects that hold resources."""
+    return getters.holding(_dictionaries(spark, d), "Resources")
+
+
+def dict_fold(spark: SparkSession, d: str) -> DataFrame:
+    return getters.fold(_dictionaries(spark, d))
+
+
+def typed_integers(spark: SparkSession, d: str) -> DataFrame:
+    """The lengths that streams state: numbers, and errors where a reference stands."""
+    return getters.typed(_dictionaries(spark, d), "Length", "integer")
+
+
+def typed_names(spark: SparkSession, d: str) -> DataFrame:
+    """The filters of streams that have one, and errors where an array of them stands."""
+    return getters.typed(_dictionaries(spark, d), "Filter", "name")
+
+
+def typed_references(spark: SparkSession, d: str) -> DataFrame:
+    return getters.typed(_dictionaries(spark, d), "Contents", "reference")
+
+
+def arrays_of_numbers(spark: SparkSession, d: str) -> DataFrame:
+    return getters.arrays_of(shred.grouped(table(spark, d, "objects")), "MediaBox", "number", 4)
+
+
+def arrays_of_names(spark: SparkSession, d: str) -> DataFrame:
+    return getters.arrays_of(shred.grouped(table(spark, d, "objects")), "Filter", "name")
+
+
+def arrays_of_references(spark: SparkSession, d: str) -> DataFrame:
+    return getters.arrays_of(shred.grouped(table(spark, d, "objects")), "Kids", "reference")
+
+
 def int_range(spark: SparkSession, d: str) -> DataFrame:
     """Violations of the ranges of positions and generations, by kind of entry."""
     x = table(spark, d, "xref_entries")
@@ -407,7 +450,8 @@ QUERIES = {
     for f in (
         find_ref, find_name, find_occurrences, graph_edges, graph_vertices, graph_neighbors, refs_first_path, ref_closure, sanitize_nums,
         relink, undefined_refs, undefined_to_null, inline_targets, xref_heads, xref_report, xref_totals, xref_zero_offsets, xref_compare,
-        overlaps, holes, document_sizes, filter_histogram, types_histogram, class_mandatory, class_unexpected, int_range, key_forms,
+        overlaps, holes, document_sizes, filter_histogram, types_histogram, class_mandatory, class_unexpected, dict_lengths, dict_members,
+        dict_fold, typed_integers, typed_names, typed_references, arrays_of_numbers, arrays_of_names, arrays_of_references, int_range, key_forms,
         name_forms, file_report, asciihex_encode, asciihex_round_trip, adler32, md5, codec_round_trip, qq_balance, content_dfa, page_language, page_runs, pdf_stats,
         pdf_stats_strict, pdf_find_ref, pdf_find_name, pdf_xref, pdf_types, pdf_content_ops, pdf_trailers, pdf_streams,
         pdf_cleanup, pdf_type_registry, pdf_type_includes, pdf_type_aliases,
@@ -425,6 +469,23 @@ _X = "x AS (SELECT DISTINCT file_id, obj_num, obj_gen, low, high FROM objects WH
 _RULES = f"""rule AS (SELECT * FROM (VALUES {", ".join(f"('{t}', '{c}', '{k}', {m})" for t, c, k, m in classes.rule_rows())}) r(type, class, key, mandatory)),
 y AS (SELECT object_id, lit, arg_max(value, ord) AS type FROM nodes WHERE parent_group = '' AND elem_name = 'Type' AND kind = 'name' GROUP BY ALL),
 u AS (SELECT DISTINCT object_id, lit, elem_name AS key FROM nodes WHERE parent_group = '' AND parent_ord = 0 AND elem_name IS NOT NULL AND kind <> 'null')"""
+_ENTRIES = f"""WITH RECURSIVE {NODES.strip()}, le AS (SELECT object_id, lit, elem_name AS key, arg_max(kind, ord) AS kind, arg_max(coalesce(value, ''), ord) AS value FROM nodes WHERE parent_ord = 0 AND elem_name IS NOT NULL GROUP BY ALL),
+en AS (SELECT * FROM le WHERE kind <> 'null')"""
+_ARRAYS = f"""WITH RECURSIVE {NODES.strip()}, ar AS (SELECT a.object_id, a.path, a.group_path, a.lit, a.ord, count(*) AS n, string_agg(b.value, ' ' ORDER BY b.ord) AS vs, list(DISTINCT b.kind) AS kinds
+FROM nodes a JOIN nodes b ON b.lit = a.lit AND b.parent_ord = a.ord WHERE a.kind = 'array' GROUP BY ALL)"""
+
+
+def _array_sql(key: str, kind: str, size: int | None = None) -> str:
+    bad = f"len(list_filter(kinds, lambda k: k NOT IN ({', '.join(repr(k) for k in getters.KINDS[kind])}))) > 0"
+    error = f"CASE WHEN {bad} THEN 'Expected array of {kind}s'" + (f" WHEN n <> {size} THEN 'Expected array of size {size}'" if size else "") + " END"
+    return f"{_ARRAYS} SELECT object_id, path, n, CASE WHEN {error} IS NULL THEN vs END AS values, {error} AS error FROM ar WHERE group_path LIKE '%/{key}'"
+
+
+def _typed_sql(key: str, kind: str) -> str:
+    fits = f"kind IN ({', '.join(repr(k) for k in getters.KINDS[kind])})"
+    return f"{_ENTRIES} SELECT object_id, CASE WHEN {fits} THEN value END AS value, CASE WHEN NOT {fits} THEN 'Expected {kind} at entry /{key}' END AS error FROM en WHERE key = '{key}'"
+
+
 _OPS = """o AS (SELECT user_id, ts, event_id, CASE event_type WHEN 'purchase' THEN 'q' WHEN 'signup' THEN 'Q' WHEN 'click' THEN 'BT' WHEN 'view' THEN 'ET' WHEN 'error' THEN 'Tj' END AS op
 FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL)"""
 # Length of the bytes that show a text: quotes of the string syntax cost one more byte each.
@@ -477,6 +538,15 @@ SQL = {
     "class_mandatory": f"WITH RECURSIVE {NODES.strip()}, {_RULES} SELECT DISTINCT y.object_id, rule.class, rule.key FROM y JOIN rule USING (type) ANTI JOIN u ON u.lit = y.lit AND u.key = rule.key WHERE rule.mandatory",
     "class_unexpected": f"""WITH RECURSIVE {NODES.strip()}, {_RULES}, kinds AS (SELECT DISTINCT type, class FROM rule), odd AS (SELECT DISTINCT y.object_id, kinds.class, u.key FROM y JOIN kinds USING (type) JOIN u ON u.lit = y.lit ANTI JOIN rule ON rule.type = y.type AND rule.key = u.key)
         SELECT class, key, count(*) AS n_objects FROM odd GROUP BY ALL""",
+    "dict_lengths": f"{_ENTRIES} SELECT object_id, count(*) FILTER (kind <> 'null') AS n_entries FROM le GROUP BY object_id, lit",
+    "dict_members": f"{_ENTRIES} SELECT object_id FROM en WHERE key = 'Resources'",
+    "dict_fold": f"{_ENTRIES} SELECT key, kind, count(*) AS n_objects FROM en GROUP BY ALL",
+    "typed_integers": _typed_sql("Length", "integer"),
+    "typed_names": _typed_sql("Filter", "name"),
+    "typed_references": _typed_sql("Contents", "reference"),
+    "arrays_of_numbers": _array_sql("MediaBox", "number", 4),
+    "arrays_of_names": _array_sql("Filter", "name"),
+    "arrays_of_references": _array_sql("Kids", "reference"),
     "int_range": """SELECT coalesce(kind, 'none') AS kind, count(*) FILTER (NOT obj_gen BETWEEN 0 AND 65535) AS bad_gen, count(*) FILTER (NOT off BETWEEN 0 AND 2147483647) AS bad_off,
         count(*) FILTER (kind = 'inuse' AND off = 0) AS zero_off, count(idx) AS with_idx FROM xref_entries GROUP BY 1""",
     "key_forms": f"SELECT file_id, obj_num, obj_gen, CASE obj_gen WHEN 0 THEN obj_num || '' ELSE obj_num || ' [' || obj_gen || ']' END AS key_text, CASE obj_gen WHEN 0 THEN obj_num || '' ELSE obj_num || '_' || obj_gen END AS key_id FROM ({_V})",

@@ -6,7 +6,7 @@ import pytest
 import __spark_entry__ as entry
 
 D = "/root/testdata/sf0.001"
-SOME = ["p2_found", "p4_found", "p5_found", "find_name", "graph_neighbors", "sanitize_nums", "undefined_refs", "xref_heads", "xref_report", "holes", "filter_histogram", "name_forms", "content_dfa", "qq_balance", "adler32", "pdf_stats", "pdf_xref", "p2_rejected", "p3_found", "p3_tables", "p3_outline_table", "p5_descendants", "inline_targets", "undefined_to_null", "class_mandatory", "pdf_type_registry", "page_runs", "varied_stats", "varied_report", "varied_content", "varied_titles", "varied_merged", "varied_closure", "varied_visjs"]
+SOME = ["p2_found", "p4_found", "p5_found", "find_name", "graph_neighbors", "sanitize_nums", "undefined_refs", "xref_heads", "xref_report", "holes", "filter_histogram", "name_forms", "content_dfa", "qq_balance", "adler32", "pdf_stats", "pdf_xref", "p2_rejected", "p3_found", "p3_tables", "p3_outline_table", "p5_descendants", "inline_targets", "undefined_to_null", "class_mandatory", "pdf_type_registry", "page_runs", "dict_lengths", "typed_integers", "arrays_of_numbers", "varied_stream", "varied_overlaps", "varied_stats", "varied_report", "varied_content", "varied_titles", "varied_merged", "varied_closure", "varied_visjs"]
 pytestmark = pytest.mark.skipif(not os.path.isdir(D), reason="the test tables aren't here")
 
 

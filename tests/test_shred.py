@@ -1,5 +1,5 @@
 from quire.kernels import literal as L
-from quire.operators import shred
+from quire.operators import classes, getters, shred
 
 TEXT = """<< /Type /Page % comment with << and (
  /Kids [ 1 0 R null << /A#20b (x \\) << [ ) /D <DEAD> >> [ [ 3
@@ -69,3 +69,27 @@ def test_groups_hold_all_triples(spark):
     b = sorted(map(repr, map(tuple, shred._each(shred.grouped(df, part=3)).select(cols).collect())))
     assert a == b and shred.grouped(df, part=3).where("object_id = 4").count() == 1 + 4 + 10
     assert sorted((r.object_id, r.path) for r in shred.containers(df).where("object_id > 1").collect()) == sorted((4, f"[{i}]") for i in range(10))
+
+
+def test_getters(spark):
+    rows = [(1, "<</A 1/B null/A 2/C[1 2.5]/D[1/x]/E<</C[7]>>>>"), (2, "<</A/x/C[]>>"), (3, "[1 2]"), (4, "<<>>"), (5, None), (6, "<</B null>>")]
+    g = shred.grouped(spark.createDataFrame(rows, "object_id BIGINT, literal STRING"), part=1)
+    d = getters.dictionaries(g)
+    assert {(r.object_id, r.n_entries) for r in getters.lengths(d).where("object_id <> 1").collect()} == {(2, 2), (6, 0)}
+    g = shred.grouped(spark.createDataFrame(rows, "object_id BIGINT, literal STRING"))
+    d = getters.dictionaries(g)
+    assert {(r.object_id, r.n_entries) for r in getters.lengths(d).collect()} == {(1, 4), (2, 2), (6, 0)}
+    assert {r.object_id for r in getters.holding(d, "C").collect()} == {1, 2} and getters.holding(d, "B").count() == 0
+    assert {tuple(r) for r in getters.typed(d, "A", "integer").collect()} == {(1, "2", None), (2, None, "Expected integer at entry /A")}
+    parts = shred.grouped(spark.createDataFrame(rows, "object_id BIGINT, literal STRING"), part=1)
+    assert {(r.path, r.n, r["values"], r.error) for r in getters.arrays_of(parts, "C", "number", 2).collect()} == {("/C", 2, "1 2.5", None), ("/E/C", 1, None, "Expected array of size 2")}
+    assert [r.error for r in getters.arrays_of(parts, "D", "number").collect()] == ["Expected array of numbers"]
+    assert getters.fold(d).where("key = 'A'").count() == 2 and getters.lengths(getters.dictionaries(g.limit(0))).count() == 0
+
+
+def test_classes(spark):
+    rows = [(1, "<</Type/Page/Odd 1/MediaBox[0 0 1 1]/Parent null>>"), (1, "<</Type/Page/Odd 1/MediaBox[0 0 1 1]/Parent null>>"), (2, "<</Type/Catalog/Pages 2 0 R>>"), (3, "<</Type/Unknown/A 1>>"), (4, "<</A 1>>"), (5, "[1]"), (6, None), (7, "<</Ty#70e/Pages/Count 1>>")]
+    df = spark.createDataFrame(rows, "object_id BIGINT, literal STRING")
+    assert {tuple(r) for r in classes.missing(df).collect()} == {(1, "page", "Parent"), (7, "pageroot", "Kids")}
+    assert [tuple(r) for r in classes.unexpected(df).collect()] == [("page", "Odd", 1)]
+    assert classes.missing(df.limit(0)).count() == 0
